@@ -28,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import tokens
 from .common import as_texts, shared_dir, slices, store
-from .tokens import ChunkEncoder
 
 LIMIT = 18
 STRIDE = 256
@@ -128,7 +128,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int, keeps_space: bool, id_col:
     id_type = dict(docs.dtypes)[id_col]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(path, keeps_space)
+        encoder = tokens.encoder(path, keeps_space)
         size = max(len(encoder.edge), end_id + 1)
         kind = "<u2" if size <= 1 << 16 else "<u4"
         histogram, none, id_kind = np.zeros(size, np.int64), None, pa.int64()

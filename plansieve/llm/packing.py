@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import tokens
 from .common import as_texts, slices, store
-from .tokens import ChunkEncoder
 
 Run = tuple[tuple[int, ...], int]
 
@@ -219,7 +219,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, keep
     id_type = dict(docs.dtypes)[id_col]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer, keeps_space)
+        encoder = tokens.encoder(tokenizer, keeps_space)
         tail = np.array([end_id], "<u4").tobytes()
         for batch in slices(batches, 256):
             rows = []

@@ -9,6 +9,7 @@ remembered; texts with other white space, or with runs of it, go to the library
 from __future__ import annotations
 
 import os
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -34,6 +35,7 @@ class ChunkEncoder:
         self.keeps_space, self.most = keeps_space, most
         self.known: dict[str, bytes | None] = {}
         self.cores: dict[str, bytes] = {}
+        self.fresh: list[str] = []
         vocabulary = self.library.get_vocab()
         #: Ids that begin a word after a space, or that end a word: what parts the words of a joined text.
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -71,10 +73,9 @@ class ChunkEncoder:
                 words[c] = core
             else:
                 rest.append(c)
-        if len(self.cores) > self.most:
-            self.cores.clear()
         new = list({core for core in words.values() if core not in self.cores})
         self.cores.update(zip(new, self._words(new), strict=True))
+        self.fresh = new
         tails = {c[len(core) :] for c, core in words.items()}
         tail_ids = dict(zip(tails, self.whole(list(tails)), strict=True))
         for c, core in words.items():
@@ -95,9 +96,8 @@ class ChunkEncoder:
         else:
             cut = [t.replace("\n", " ").split(" ") for t in texts]
             heads, plain = [b""] * len(cut), [True] * len(cut)
-        if len(self.known) > self.most:
-            self.known.clear()
         new = set(chain.from_iterable(cut)).difference(self.known)
+        self.fresh = []
         if new:
             self._learn(list(new))
         get, out = self.known.__getitem__, []
@@ -106,4 +106,14 @@ class ChunkEncoder:
                 out.append(head + b"".join(map(get, chunks)) if ok else self.whole([text])[0])
             except TypeError:  # a chunk with odd white space
                 out.append(self.whole([text])[0])
+        for held, added in ((self.known, new), (self.cores, self.fresh)):
+            if len(held) > self.most:  # the common ones came early; the rest lasts for its batch
+                for c in added:
+                    del held[c]
         return out
+
+
+@cache
+def encoder(path: str, keeps_space: bool) -> ChunkEncoder:
+    """The worker's own encoder; it outlives a task, and so does what it remembers."""
+    return ChunkEncoder(path, keeps_space)
