@@ -31,7 +31,8 @@ from pyspark.sql.window import Window
 
 from .common import cut
 
-BLOCK = 8192
+#: Rows of a block of vectors and of a block of queries.
+BLOCK, QUERY_BLOCK = 1 << 15, 1024
 
 
 def usable(vector: str) -> Column:
@@ -56,33 +57,44 @@ class Windows:
         self.a = rng.standard_normal((d + 1, projections))
         last = np.sqrt(np.maximum(norm**2 - (vectors**2).sum(1), 0))
         values = vectors @ self.a[:-1] + last[:, None] * self.a[-1]
-        self.order = [np.argsort(values[:, j], kind="stable") for j in range(projections)]
-        self.sorted = [values[o, j] for j, o in enumerate(self.order)]
+        order = np.argsort(values, axis=0, kind="stable").T
+        self.sorted = np.sort(values, axis=0).T.copy()
+        self.place = np.empty(order.shape, np.uint16)  # where each vector stands in each sorted array
+        np.put_along_axis(self.place, order, np.arange(n, dtype=np.uint16)[None, :], axis=1)
         self.n, self.norm, self.least = n, norm, math.ceil(share * projections)
         self.width = float(values.std()) or 1.0
 
-    def collisions(self, at: np.ndarray, half: float) -> np.ndarray:
-        """In how many windows of this half-width each vector lies; ``at``: the query's projections."""
-        parts = [o[np.searchsorted(s, x - half) : np.searchsorted(s, x + half, "right")] for o, s, x in zip(self.order, self.sorted, at, strict=True)]
-        return np.bincount(np.concatenate(parts), minlength=self.n)
-
-    def search(self, queries: np.ndarray, wanted: int, start: float = 0.1, factor: float = 1.25):
-        """For each query the numbers of the vectors to verify."""
-        scaled = queries * (self.norm / np.sqrt((queries**2).sum(1)))[:, None]
-        projected = scaled @ self.a[:-1]
-        half = start * self.width
-        for at in projected:
-            hits = np.flatnonzero(self.collisions(at, half) >= self.least)
-            while len(hits) > 2 * wanted and half > 1e-6 * self.width:  # the last query's width was too wide for this one
-                half /= factor
-                hits = np.flatnonzero(self.collisions(at, half) >= self.least)
-            while len(hits) < min(wanted, self.n):
+    def project(self, queries: np.ndarray) -> np.ndarray:
+        return (queries * (self.norm / np.sqrt((queries**2).sum(1)))[:, None]) @ self.a[:-1]
+
+    def candidates(self, at: np.ndarray, half: float) -> np.ndarray:
+        """The vectors that stand in enough of the windows of this half-width around a query's projections."""
+        count = np.zeros(self.n, np.uint8)
+        for place, values, x in zip(self.place, self.sorted, at.tolist(), strict=True):
+            low, high = values.searchsorted((x - half, x + half))
+            if high - low == self.n:
+                count += 1
+            elif high > low:
+                count += place - np.uint16(low) < np.uint16(high - low)  # wraps below the window, so one comparison does
+        return np.flatnonzero(count >= self.least)
+
+    def search(self, queries: np.ndarray, wanted: int, factor: float = 1.03):
+        """For each query the vectors to verify: at least ``wanted``, or all if there are fewer.
+
+        Virtual rehashing starts from the width that served the query before.
+        """
+        wanted, half = min(wanted, self.n), 0.5 * self.width
+        for at in self.project(queries):
+            hits, widened = self.candidates(at, half), False
+            while len(hits) < wanted:
                 half *= factor
-                hits = np.flatnonzero(self.collisions(at, half) >= self.least)
+                hits, widened = self.candidates(at, half), True
+            if not widened and len(hits) > 1.1 * wanted:  # narrower for the next query; this one keeps what it has
+                half /= factor
             yield hits
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", projections: int = 48, share: float = 0.6, verify: float = 0.03, seed: int = 7, block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", projections: int = 64, share: float = 0.7, verify: float = 0.2, seed: int = 7, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k best found for each row that ``queries`` marks.
 
     ``verify`` is the share of a block's vectors that windows grow to reach at least.
@@ -94,7 +106,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     top = shapes.orderBy(F.desc("n"), F.desc("d")).first()
     d, n, n_queries, norm = (top["d"], top["n"], top["nq"], top["norm"]) if top else (0, 0, 0, 0.0)
     rows = valid.where(F.col("d") == d)
-    parts, query_parts = max(1, math.ceil(n / block)), max(1, math.ceil(n_queries / block))
+    parts, query_parts = max(1, math.ceil(n / block)), max(1, math.ceil(n_queries / query_block))
     hashed = F.xxhash64("vec_id")
     left = rows.withColumn("part", F.pmod(hashed, F.lit(parts))).withColumn("query_part", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1)))).select("part", "query_part", "vec_id", "v")
     right = rows.where("q").withColumn("query_part", F.pmod(hashed, F.lit(query_parts)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).select("part", "query_part", "vec_id", "v")
@@ -118,12 +130,15 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
             keys = sorted(members)
             x = x[keys]
             windows = Windows(x, norm, projections, share, seed)
-            q = matrix(right.column("v"))
+            q, coarse = matrix(right.column("v")), x.astype(np.float32)
             wanted = max(2 * k, math.ceil(verify * len(keys)))
             for query, vector, hits in zip(right.column("vec_id").to_pylist(), q, windows.search(q, wanted), strict=True):
+                if len(hits) > k + 1:  # single precision leaves out only what is below the best by more than its error
+                    rough = coarse[hits] @ vector.astype(np.float32)
+                    margin = 1e-5 * norm * math.sqrt(float(vector @ vector))
+                    hits = hits[rough >= np.partition(rough, -k - 1)[-k - 1] - margin]
                 scores = (x[hits] * vector).sum(1)
-                least = np.partition(scores, -k - 1)[-k - 1] if len(scores) > k + 1 else -np.inf
-                best = [(-s, i) for h, s in zip(hits.tolist(), scores.tolist(), strict=True) if s >= least for i in members[keys[h]] if i != query]
+                best = [(-s, i) for h, s in zip(hits.tolist(), scores.tolist(), strict=True) for i in members[keys[h]] if i != query]
                 out += [(query, i, -s) for s, i in sorted(best)[:k]]
         cols = list(zip(*out, strict=True)) or [()] * 3
         return pa.table([pa.array(c, t) for c, t in zip(cols, (kind, kind, pa.float64()), strict=True)], names)
