@@ -97,7 +97,7 @@ class Windows:
 def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", projections: int = 64, share: float = 0.7, verify: float = 0.2, seed: int = 7, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k best found for each row that ``queries`` marks.
 
-    ``verify`` is the share of a block's vectors that windows grow to reach at least.
+    Windows grow until they reach at least the share ``verify`` of a block's vectors, and 50 * k.
     """
     valid = vectors.where(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("vec_id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
     valid = valid.groupBy("vec_id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
@@ -131,7 +131,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
             x = x[keys]
             windows = Windows(x, norm, projections, share, seed)
             q, coarse = matrix(right.column("v")), x.astype(np.float32)
-            wanted = max(2 * k, math.ceil(verify * len(keys)))
+            wanted = max(50 * k, math.ceil(verify * len(keys)))
             for query, vector, hits in zip(right.column("vec_id").to_pylist(), q, windows.search(q, wanted), strict=True):
                 if len(hits) > k + 1:  # single precision leaves out only what is below the best by more than its error
                     rough = coarse[hits] @ vector.astype(np.float32)
