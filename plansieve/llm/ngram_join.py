@@ -314,9 +314,9 @@ def join_similar(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (
 def one_of_each(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (90, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are the first of their component, with all their columns.
 
-    Of rows with equal ids and texts one stays. Texts aren't shuffled: the ids that
-    stay are a table of ids, joined to the documents.
+    Rows with equal ids stay or go together; they stay if one of them is the first.
     """
     result = join_similar(docs, width, threshold, id_col, text_col)
-    gone = cut(result.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct())
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = cut(result.groupBy(F.col("doc_id").alias("gone")).agg(F.max(first).alias("stays")).where("not stays").select("gone"))
     return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
