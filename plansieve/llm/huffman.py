@@ -13,7 +13,7 @@ ids and token counts, the first token's place within the part, bits and checkpoi
 
 Defined cases: null text counts as empty, an empty document is its end id alone; null
 ids come first in order; documents with equal ids stand in the order of their token
-counts and checksums; an empty table gives an empty file; other columns are ignored.
+counts and a hash of their ids; an empty table gives an empty file; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -130,19 +130,18 @@ def tokenize(docs: DataFrame, path: str, end_id: int, keeps_space: bool, id_col:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(path, keeps_space)
         size = max(len(encoder.edge), end_id + 1)
-        kind = "<u2" if size <= 1 << 16 else "<u4"
-        histogram, none, id_kind = np.zeros(size, np.int64), None, pa.int64()
+        tail, width = np.array([end_id], encoder.kind).tobytes(), encoder.kind.itemsize
+        histogram, id_kind = np.zeros(size, np.int64), None
+        names = ["doc_id", "n", "ids", "histogram"]
         for batch in slices(batches, 256):
             id_kind = batch.column(0).type
-            ids = [np.append(np.frombuffer(x, "<u4"), np.uint32(end_id)) for x in encoder.encode(as_texts(batch.column(1)))]
-            histogram += np.bincount(np.concatenate(ids), minlength=size)
-            none = pa.nulls(batch.num_rows, pa.binary())
-            yield pa.record_batch([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary()), pa.array([zlib.crc32(x.astype("<u4")) for x in ids], pa.int64()), none], ["doc_id", "n", "ids", "crc", "histogram"])
-        if none is not None:
-            one = pa.nulls(1, pa.int64())
-            yield pa.record_batch([pa.nulls(1, id_kind), one, pa.nulls(1, pa.binary()), one, pa.array([histogram.tobytes()], pa.binary())], ["doc_id", "n", "ids", "crc", "histogram"])
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(encode, f"doc_id {id_type}, n long, ids binary, crc long, histogram binary")
+            ids = [x + tail for x in encoder.encode(as_texts(batch.column(1)))]
+            histogram += np.bincount(np.frombuffer(b"".join(ids), encoder.kind), minlength=size)
+            yield pa.record_batch([batch.column(0), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.nulls(batch.num_rows, pa.binary())], names)
+        if id_kind is not None:
+            yield pa.record_batch([pa.nulls(1, id_kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([histogram.tobytes()], pa.binary())], names)
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(encode, f"doc_id {id_type}, n long, ids binary, histogram binary")
     return store(rows, "ids")
 
 
@@ -191,8 +190,8 @@ def write_blocks(stored: DataFrame, path: str, limit: int = LIMIT, block: int =
         if held:
             yield packed()
 
-    docs = stored.where("histogram is null").select("doc_id", "ids", "n", "crc")
-    placed = docs.repartitionByRange("doc_id", "n", "crc").sortWithinPartitions("doc_id", "n", "crc").select("doc_id", "ids", "n")
+    docs = stored.where("histogram is null").select("doc_id", "ids", "n", F.xxhash64("ids").alias("tie"))
+    placed = docs.repartitionByRange("doc_id", "n", "tie").sortWithinPartitions("doc_id", "n", "tie").select("doc_id", "ids", "n")
     blocks = placed.mapInArrow(encode, f"part int, block long, start long, doc_ids array<{id_type}>, counts array<long>, bits binary, checkpoints array<long>")
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
 

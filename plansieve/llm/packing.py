@@ -220,17 +220,17 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, keep
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(tokenizer, keeps_space)
-        tail = np.array([end_id], "<u4").tobytes()
+        end = np.uint32(end_id)
         for batch in slices(batches, 256):
             rows = []
             for d, raw in zip(batch.column(0).to_pylist(), encoder.encode(as_texts(batch.column(1))), strict=True):
-                raw = memoryview(raw + tail)
-                n = len(raw) // 4
+                ids = np.append(np.frombuffer(raw, encoder.kind).astype("<u4"), end)
+                n, raw = len(ids), memoryview(ids).cast("B")
                 first = (n - 1) % capacity + 1
-                for piece, end in enumerate(range(first, n + 1, capacity)):
-                    start = max(0, end - capacity) if piece else 0
-                    part = raw[4 * start : 4 * end]
-                    rows.append((d, piece, start, end - start, zlib.crc32(part), part.tobytes() if with_ids else None))
+                for piece, stop in enumerate(range(first, n + 1, capacity)):
+                    start = max(0, stop - capacity) if piece else 0
+                    part = raw[4 * start : 4 * stop]
+                    rows.append((d, piece, start, stop - start, zlib.crc32(part), part.tobytes() if with_ids else None))
             cols = list(zip(*rows, strict=True)) or [()] * 6
             kinds = [batch.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])

@@ -8,6 +8,7 @@ remembered; texts with other white space, or with runs of it, go to the library
 
 from __future__ import annotations
 
+import gc
 import os
 from functools import cache
 from itertools import chain
@@ -20,7 +21,7 @@ MARKS = ".,;:!?#$%&*|()\"-"
 
 
 class ChunkEncoder:
-    """Ids of texts as little-endian 32-bit bytes.
+    """Ids of texts as little-endian integers of ``kind``: 16 bits where the vocabulary fits, else 32.
 
     ``keeps_space``: a space belongs to the word after it (byte-level files); otherwise
     white space only separates. At most ``most`` chunks are remembered.
@@ -37,28 +38,29 @@ class ChunkEncoder:
         self.cores: dict[str, bytes] = {}
         self.fresh: list[str] = []
         vocabulary = self.library.get_vocab()
+        self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         #: Ids that begin a word after a space, or that end a word: what parts the words of a joined text.
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
         self.edge[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if keeps_space else t.endswith("</w>"))]] = True
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Straight from the library."""
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.asarray(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters only, each as if after a space, from joined texts."""
         out: list[bytes] = []
         parts = [words[i : i + 1000] for i in range(0, len(words), 1000)]
         joined = [" " + " ".join(part) for part in parts]
-        for part, ids in zip(parts, map(np.frombuffer, self.whole(joined), ["<u4"] * len(parts)), strict=True):
+        for part, ids in zip(parts, map(np.frombuffer, self.whole(joined), [self.kind] * len(parts)), strict=True):
             at = np.flatnonzero(self.edge[ids])
             ends = [*at[1:].tolist(), len(ids)] if self.keeps_space else (at + 1).tolist()
             if len(ends) != len(part):
                 out += self.whole([f" {w}" for w in part])
                 continue
-            raw, last = ids.tobytes(), 0
+            raw, last, size = ids.tobytes(), 0, self.kind.itemsize
             for end in ends:
-                out.append(raw[4 * last : 4 * end])
+                out.append(raw[size * last : size * end])
                 last = end
         return out
 
@@ -87,6 +89,16 @@ class ChunkEncoder:
             self.known[c] = ids if fine else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, one after the other."""
+        tracing = gc.isenabled()
+        gc.disable()  # nothing here is in a cycle, and what is remembered is much to look through
+        try:
+            return self._encode(texts)
+        finally:
+            if tracing:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if self.keeps_space:
             cut = [t.replace("\n", " \n").split(" ") for t in texts]
             heads = self.whole([c[0] for c in cut])
