@@ -46,7 +46,16 @@ def store(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(conf).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_path = path
+    return stored
+
+
+def discard(stored: DataFrame) -> None:
+    """Deletes a table of ``store`` that nothing reads any more."""
+    spark = stored.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stored.stored_path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

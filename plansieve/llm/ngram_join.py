@@ -10,8 +10,10 @@ dropped, and so are pairs whose parity signatures differ in more places than the
 symmetric difference may have members. What remains is checked on whole sets, and
 links become components by label propagation along hashed minima.
 
-Equal rows are never paired: results carry classes and their sizes. Rows whose sets
-differ are paired whenever the bounds allow it, so no link is lost.
+The product runs twice: first a row is paired with only the first of its partners in
+each column, and rows found to link are one component from then on; then with all of
+its partners in other components. So a dense group of near copies costs its members and
+not its pairs, while every link between components is found.
 
 Defined cases: null text and text without words has 0 n-grams and links with nothing;
 fewer than ``width`` words are one n-gram; rows with equal ids are copies of a document
@@ -22,6 +24,8 @@ are ignored.
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, mix64, slices, store
+from .common import as_bytes, cut, discard, mix64, slices, store
 
-#: Counters of the sketch that orders columns: 2**SKETCH; CHUNK of them travel in a row.
-SKETCH, CHUNK = 20, 1 << 14
+#: The sketch that orders columns has about COUNTERS counters a row of the matrix, within these powers of two; CHUNK of them travel together.
+COUNTERS, LEAST_BITS, MOST_BITS, CHUNK = 16, 16, 24, 1 << 14
 #: Bits of a parity signature.
 SIGNATURE = 512
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -80,32 +84,36 @@ def signature(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def rows_of(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+def sketch_bits(n: int) -> int:
+    """The size of the sketch for n rows: in proportion, up to 2**MOST_BITS bytes when broadcast."""
+    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, n * COUNTERS)))))
+
+
+def rows_of(docs: DataFrame, width: int, bits: int, id_col: str, text_col: str) -> DataFrame:
     """Scan 1: n, fingerprint and signature of each document, and a sketch of the column counts per task; stored."""
     id_type = dict(docs.dtypes)[id_col]
     names = ["doc_id", "n", "fp", "sig", "chunk", "counts"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sketch, id_kind = Words(), np.zeros(1 << SKETCH, np.uint32), None
+        words, sketch, id_kind = Words(), np.zeros(1 << bits, np.uint16), None
         for batch in slices(batches, 256):
             id_kind = batch.column(0).type
             sets = [shingles(t, width, words) for t in as_bytes(batch.column(1))]
-            cells = np.concatenate(sets) >> np.uint64(64 - SKETCH)
-            at, n = np.unique(cells.astype(np.int64), return_counts=True)
-            sketch[at] += n.astype(np.uint32)
+            at, n = np.unique((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+            sketch[at] += np.minimum(n, 65535 - sketch[at]).astype(np.uint16)  # stops at the largest value
             none = pa.nulls(len(sets))
             yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names)
         if id_kind is not None:
             chunks = [(i, c) for i, c in enumerate(sketch.reshape(-1, CHUNK)) if c.any()]
             none = pa.nulls(len(chunks))
-            yield pa.record_batch([pa.nulls(len(chunks), id_kind), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array([i for i, _ in chunks], pa.int32()), pa.array([c.tobytes() for _, c in chunks], pa.binary())], names)
+            yield pa.record_batch([pa.nulls(len(chunks), id_kind), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array([i for i, _ in chunks], pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for _, c in chunks], pa.binary())], names)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(scan, f"doc_id {id_type}, n long, fp long, sig binary, chunk int, counts binary")
     return store(rows, "rows")
 
 
-def column_order(rows: DataFrame) -> np.ndarray:
-    """The sketch's counts on a logarithmic scale, a byte per counter: 2**SKETCH bytes whatever the corpus."""
+def column_order(rows: DataFrame, bits: int) -> np.ndarray:
+    """The sketch's counts on a logarithmic scale, a byte per counter: at most 2**MOST_BITS bytes."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -113,11 +121,11 @@ def column_order(rows: DataFrame) -> np.ndarray:
             for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if chunk not in total:
                     total[chunk] = np.zeros(CHUNK, np.int64)
-                total[chunk] += np.frombuffer(raw, np.uint32)
+                total[chunk] += np.frombuffer(zlib.decompress(raw), np.uint16)
         levels = [(c, np.floor(4 * np.log2(1 + t)).astype(np.uint8).tobytes()) for c, t in total.items()]
         yield pa.record_batch([pa.array([c for c, _ in levels], pa.int32()), pa.array([x for _, x in levels], pa.binary())], ["chunk", "levels"])
 
-    order = np.zeros(1 << SKETCH, np.uint8)
+    order = np.zeros(1 << bits, np.uint8)
     parts = rows.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, levels binary")
     for r in parts.collect():
         order[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["levels"], np.uint8)
@@ -126,7 +134,7 @@ def column_order(rows: DataFrame) -> np.ndarray:
 
 def prefix_entries(docs: DataFrame, order: np.ndarray, width: int, threshold: tuple[int, int], text_col: str) -> DataFrame:
     """Scan 2: the entries of each row's first columns: column, row, row length, place."""
-    held = docs.sparkSession.sparkContext.broadcast(order)
+    held, shift = docs.sparkSession.sparkContext.broadcast(order), 65 - len(order).bit_length()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, level, seen = Words(), held.value, set()
@@ -144,7 +152,7 @@ def prefix_entries(docs: DataFrame, order: np.ndarray, width: int, threshold: tu
                 seen.add(fp)
                 n = len(s)
                 k = n - needed(n, threshold) + 1
-                cell = level[(s >> np.uint64(64 - SKETCH)).astype(np.int64)]
+                cell = level[(s >> np.uint64(shift)).astype(np.int64)]
                 if k < n:
                     top = np.partition(cell, k - 1)[k - 1]
                     near = np.flatnonzero(cell <= top)
@@ -160,24 +168,37 @@ def prefix_entries(docs: DataFrame, order: np.ndarray, width: int, threshold: tu
     return docs.select(text_col).mapInArrow(scan, "h long, fp long, n int, pos int")
 
 
-def candidate_pairs(entries: DataFrame, classes: DataFrame, threshold: tuple[int, int], block: int = 256) -> DataFrame:
+def shared_entries(entries: DataFrame) -> DataFrame:
+    """The entries of columns that hold different rows, with the number of entries of the column; stored."""
+    shared = entries.groupBy(F.col("h").alias("c_h")).agg(F.count("*").alias("c_n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("c_h", "c_n")
+    return store(entries.join(shared, F.col("h") == F.col("c_h")).select("h", "c_n", "fp", "n", "pos"), "shared")
+
+
+def candidate_pairs(entries: DataFrame, classes: DataFrame, threshold: tuple[int, int], labels: DataFrame | None = None, block: int = 256) -> DataFrame:
     """The product: pairs (a, b) of rows that share a column and that no bound excludes; distinct.
 
+    Without ``labels``, each row of a column is paired with the first of its partners
+    only, and a row that has partners but no pair comes out as (a, a). With ``labels``
+    (node, component) of all rows that have partners, these are paired with all of their
+    partners in other components.
+
     A column of more than ``block`` rows is cut into blocks of rows, and each pair of
     blocks is a task's work of its own.
     """
     up, down = threshold
-    shared = entries.groupBy(F.col("h").alias("c_h")).agg(F.count("*").alias("c_n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("c_h", "c_n")
+    first_only = labels is None
     signed = classes.select(F.col("fp").alias("s_fp"), "sig")
-    blocks = F.ceil(F.col("c_n") / block).cast("int")
+    if labels is None:
+        rows = entries.withColumn("label", F.col("fp"))
+    else:
+        rows = entries.join(labels.select(F.col("node").alias("l_fp"), F.col("component").alias("label")), F.col("fp") == F.col("l_fp"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     rows = (
-        entries.join(shared, F.col("h") == F.col("c_h"))
-        .join(signed, F.col("fp") == F.col("s_fp"))
-        .withColumn("blocks", blocks)
+        rows.join(signed, F.col("fp") == F.col("s_fp"))
+        .withColumn("blocks", F.ceil(F.col("c_n") / block).cast("int"))
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "n", "pos", "fp", "sig")
+        .select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "n", "pos", "fp", "label", "sig")
         .repartition("h", "i", "j")
         .sortWithinPartitions("h", "i", "j", "n", "fp")
     )
@@ -187,30 +208,41 @@ def candidate_pairs(entries: DataFrame, classes: DataFrame, threshold: tuple[int
         sent: set[tuple[int, int]] = set()
 
         def pairs(cols: list[np.ndarray]) -> pa.RecordBatch:
-            h, i, j, own, n, pos, fp, sig = cols
+            h, i, j, own, n, pos, fp, label, sig = cols
             new = np.flatnonzero((h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             ends = np.repeat(np.append(new, len(h)), np.diff(np.concatenate([[0], new, [len(h)]])))
             live, step, found = np.arange(len(h)), 1, []
+            partner, alone = np.full(len(h), -1), np.zeros(len(h), bool)
             while len(live):
                 live = live[live + step < ends[live]]
                 live = live[down * n[live] >= up * n[live + step]]  # longer rows follow, so the rest of the column is out too
                 a, b = live, live + step
                 most = np.minimum(n[a] - pos[a], n[b] - pos[b])
-                keep = ((up + down) * most >= up * (n[a] + n[b])) & (fp[a] != fp[b]) & ((own[a] != own[b]) | (i[a] == j[a]))
+                keep = ((up + down) * most >= up * (n[a] + n[b])) & (fp[a] != fp[b]) & (first_only | (label[a] != label[b])) & ((own[a] != own[b]) | (i[a] == j[a]))
                 a, b = a[keep], b[keep]
                 apart = np.bitwise_count(sig[a] ^ sig[b]).sum(1, dtype=np.int64)
                 keep = (up + down) * apart <= (down - up) * (n[a] + n[b])
-                found.append(np.stack([np.minimum(fp[a[keep]], fp[b[keep]]), np.maximum(fp[a[keep]], fp[b[keep]])], 1))
+                a, b = a[keep], b[keep]
+                if first_only:
+                    partner[b] = a  # later steps come from further ahead
+                    alone[a] = True
+                else:
+                    found.append((a, b))
                 step += 1
+            if first_only:
+                b = np.flatnonzero(partner >= 0)
+                alone[partner[b]] = alone[b] = False
+                found = [(partner[b], b), (np.flatnonzero(alone), np.flatnonzero(alone))]
             if len(sent) > 500_000:
                 sent.clear()
-            fresh = sorted(set(map(tuple, np.concatenate(found).tolist())).difference(sent)) if found else []
+            ends = [np.stack([np.minimum(fp[a], fp[b]), np.maximum(fp[a], fp[b])], 1) for a, b in found]
+            fresh = sorted(set(map(tuple, np.concatenate(ends).tolist())).difference(sent)) if ends else []
             sent.update(fresh)
             return pa.record_batch([pa.array([x for x, _ in fresh], pa.int64()), pa.array([y for _, y in fresh], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            cols = [batch.column(k).to_numpy() for k in range(3)] + [batch.column(k).to_numpy().astype(np.int64) for k in range(3, 7)]
-            cols.append(np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(-1, SIGNATURE // 64))
+            cols = [batch.column(k).to_numpy() for k in range(3)] + [batch.column(k).to_numpy().astype(np.int64) for k in range(3, 8)]
+            cols.append(np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint64).reshape(-1, SIGNATURE // 64))
             if held is not None:
                 cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
             h, i, j = cols[:3]
@@ -288,27 +320,31 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def join_similar(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (90, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: doc_id, n_shingles, n_links (documents it links with, copies counted) and component_id.
+    """A row per document: doc_id, n_shingles, copies (documents with an equal set, itself included) and component_id.
 
     Two documents link when 100 * |intersection| >= 90 * |union| (``threshold`` gives the two factors).
     """
-    rows = rows_of(docs, width, id_col, text_col)
+    bits = sketch_bits(docs.count())
+    rows = rows_of(docs, width, bits, id_col, text_col)
     found = rows.where("n is not null").select("doc_id", "n", "fp", "sig")
     classes = store(found.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "classes")
-    entries = store(prefix_entries(docs, column_order(rows), width, threshold, text_col), "entries", "lz4")
-    pairs = store(candidate_pairs(entries, classes, threshold), "pairs")
-    active = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    wanted = cut(classes.join(active, "fp", "left_semi").select("doc_id", "fp"))
-    links = cut(verified(pairs, whole_sets(docs, wanted, width, id_col, text_col), threshold))
-    sizes = classes.select("fp", "copies")
-    ends = links.select(F.col("a").alias("node"), F.col("b").alias("fp")).union(links.select(F.col("b").alias("node"), F.col("a").alias("fp")))
-    linked = ends.join(sizes, "fp").groupBy("node").agg(F.sum("copies").alias("linked"))
-    nodes = cut(components(links).join(linked, "node", "right").select("node", F.coalesce("component", "node").alias("component"), "linked"))
-    labelled = classes.join(nodes, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("k_fp"), F.coalesce("component", "fp").alias("component"), "doc_id", "copies", F.coalesce("linked", F.lit(0)).alias("linked"))
+    entries = store(prefix_entries(docs, column_order(rows, bits), width, threshold, text_col), "entries", "lz4")
+    shared = shared_entries(entries)
+    discard(entries)
+    pairs = store(candidate_pairs(shared, classes, threshold), "pairs")
+    active = cut(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct())
+    sets = whole_sets(docs, classes.join(active, "fp", "left_semi").select("doc_id", "fp"), width, id_col, text_col)
+    links = cut(verified(pairs.where("a < b"), sets, threshold))
+    known = components(links)
+    labels = cut(active.join(known, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("node"), F.coalesce("component", "fp").alias("component")))
+    rest = candidate_pairs(shared, classes, threshold, labels).join(pairs, ["a", "b"], "left_anti")
+    more = cut(verified(store(rest, "pairs"), sets, threshold))
+    nodes = components(links.union(more))
+    labelled = classes.join(nodes, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("k_fp"), F.coalesce("component", "fp").alias("component"), "doc_id", "copies")
     names = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    known = labelled.drop("doc_id").join(names, "component").select("k_fp", "component_id", (F.col("copies") - 1 + F.col("linked")).alias("n_links"))
+    final = labelled.drop("doc_id").join(names, "component").select("k_fp", "component_id", "copies")
     own = F.when(F.col("n") > 0, F.col("fp"))
-    return found.withColumn("own", own).join(known, F.col("own") == F.col("k_fp"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return found.withColumn("own", own).join(final, F.col("own") == F.col("k_fp"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (90, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
