@@ -303,22 +303,30 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> D
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node and component (the smallest node) of every node of a link table (a, b), by alternating large and small stars."""
-    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
+    edges, before = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), None
+    parts = 8
     for _ in range(most_rounds):
+        edges = cut(edges.coalesce(parts))
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        if now == before:
+            break
+        before, parts = now, max(8, now[0] // 100_000)
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.union(down.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if now == before:
-            break
-        before = now
+        edges = small.union(down.select("u", F.col("m").alias("v"))).distinct()
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 
+def partial_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """node and component of every node (fp), where rows with one component are in one group of links, though not the other way round: the least neighbour, then that one's."""
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = cut(nodes.select(F.col("fp").alias("node")).join(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")), "node", "left").select("node", F.least("node", F.coalesce("m", "node")).alias("component")).coalesce(8))
+    return cut(least.join(least.select(F.col("node").alias("component"), F.col("component").alias("next")), "component").select("node", F.col("next").alias("component")).coalesce(8))
+
+
 def join_similar(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (90, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, n_shingles, copies (documents with an equal set, itself included) and component_id.
 
@@ -335,8 +343,7 @@ def join_similar(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (
     active = cut(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct())
     sets = whole_sets(docs, classes.join(active, "fp", "left_semi").select("doc_id", "fp"), width, id_col, text_col)
     links = cut(verified(pairs.where("a < b"), sets, threshold))
-    known = components(links)
-    labels = cut(active.join(known, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("node"), F.coalesce("component", "fp").alias("component")))
+    labels = partial_labels(active, links)
     rest = candidate_pairs(shared, classes, threshold, labels).join(pairs, ["a", "b"], "left_anti")
     more = cut(verified(store(rest, "pairs"), sets, threshold))
     nodes = components(links.union(more))
