@@ -69,6 +69,13 @@ def as_texts(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Has Spark send at most ``rows`` rows to Python at a time from now on, as a row may be a long text."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that Python objects of few rows live at a time."""
     for batch in batches:

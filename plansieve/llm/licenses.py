@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices
+from .common import as_bytes, slices, small_batches
 
 # The base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -134,6 +134,7 @@ class Index:
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, base: Mapping[str, str] = BASE, rare: int = 3, least: float = 0.6) -> DataFrame:
     """A row per document: word count, places of base phrases, labels and the best IDF coverage."""
+    small_batches(docs.sparkSession)
     n, df = document_frequencies(docs, text_col, vocabulary(templates, base))
     index = Index(n, df, templates, base, rare)
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, store
+from .common import as_bytes, slices, small_batches, store
 
 KINDS = ("wav", "au", "pgm", "bmp")
 #: Rows of images are this long; a multiple of 4 keeps BMP rows unpadded.
@@ -208,6 +208,7 @@ def padded(text: bytes, unit: int = 576, fill: int = 255) -> bytes:
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: int = 576) -> DataFrame:
     """doc_id, n_bytes, media and a declared type. The kind follows from the payload; the declared type is only a hint and may be wrong."""
+    small_batches(docs.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
@@ -226,6 +227,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", un
 
 def read_media(media: DataFrame) -> DataFrame:
     """Sniffs every file of ``to_media`` and reads its payload back: type, payload digests and features."""
+    small_batches(media.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sniffer = Sniffer()

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, discard, mix64, slices, store
+from .common import as_bytes, cut, discard, mix64, slices, small_batches, store
 
 #: The sketch that orders columns has about COUNTERS counters a row of the matrix, within these powers of two; CHUNK of them travel together.
 COUNTERS, LEAST_BITS, MOST_BITS, CHUNK = 16, 16, 24, 1 << 14
@@ -332,6 +332,7 @@ def join_similar(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (
 
     Two documents link when 100 * |intersection| >= 90 * |union| (``threshold`` gives the two factors).
     """
+    small_batches(docs.sparkSession)
     bits = sketch_bits(docs.count())
     rows = rows_of(docs, width, bits, id_col, text_col)
     found = rows.where("n is not null").select("doc_id", "n", "fp", "sig")

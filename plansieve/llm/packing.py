@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import tokens
-from .common import as_texts, slices, store
+from .common import as_texts, slices, small_batches, store
 
 Run = tuple[tuple[int, ...], int]
 
@@ -251,6 +251,7 @@ def ranked(pieces: DataFrame, n: int) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, keeps_space: bool = True, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per piece: where it comes from, its length and checksum, its sequence and its offset there (and its ids as bytes)."""
+    small_batches(docs.sparkSession)
     pieces = store(cut_pieces(docs, tokenizer, end_id, capacity, keeps_space, with_ids, id_col, text_col), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     where = places(plan_packing(counts, capacity))

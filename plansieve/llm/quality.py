@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, store
+from .common import as_bytes, slices, small_batches, store
 
 NAMES = (
     "log_words", "word_length", "upper_share", "digit_share", "stops_per_word", "commas_per_word", "symbol_share", "bars_per_word",
@@ -73,6 +73,7 @@ def statistics(text: bytes) -> list[float]:
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the array x of statistics, a row per document."""
+    small_batches(docs.sparkSession)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -184,6 +185,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 def drop_poor(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3) -> DataFrame:
     """The documents with a score of at least ``threshold``, with all their columns and without a join of texts."""
+    small_batches(docs.sparkSession)
     wanted = labels.select(F.col(id_col).alias("l_id")).where("l_id is not null").distinct()
     labelled = docs.join(wanted, docs[id_col] == wanted["l_id"], "left_semi")
     model = train(store(document_statistics(labelled, id_col, text_col), "statistics"), labels, id_col, label_col)

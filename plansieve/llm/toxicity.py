@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_texts, cut, slices
+from .common import as_texts, cut, slices, small_batches
 
 SENTENCE = re.compile(r"[.!?\n]+")
 PREFIXES = (3, 4, 5, 6)
@@ -111,6 +111,7 @@ def fit_noisy_or(bags: list[tuple[int, int, list[list[int]]]], n_features: int,
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = 20_000, min_docs: int = 3, min_z: float = 6.0, max_features: int = 20_000) -> NoisyOr:
     """Fits the model to at most ``max_train`` labelled rows; every row of ``labels`` may be used."""
+    small_batches(docs.sparkSession)
     chosen = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).alias("l_id"))
@@ -158,6 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score_toxicity(docs: DataFrame, model: NoisyOr, id_col: str = "doc_id", text_col: str = "text", sentence_threshold: float = 0.5) -> DataFrame:
     """A row per document: its score, its number of sentences and the numbers of offending ones, from 0."""
+    small_batches(docs.sparkSession)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, least = model.tokens(), float(np.log(sentence_threshold / (1 - sentence_threshold)))
@@ -179,6 +181,7 @@ def score_toxicity(docs: DataFrame, model: NoisyOr, id_col: str = "doc_id", text
 
 def drop_toxic(docs: DataFrame, model: NoisyOr, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """The documents that the model doesn't reject, with all their columns, in one pass and without a join."""
+    small_batches(docs.sparkSession)
     position = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
