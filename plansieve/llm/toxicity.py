@@ -125,12 +125,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: tuple[Counter, Counter] = (Counter(), Counter())
         n = [0, 0]
-        for batch in slices(batches):
+
+        def partial() -> pa.RecordBatch:
+            names = list(by[0].keys() | by[1].keys())
+            rows = [pa.array([n[y], *[by[y][f] for f in names]], pa.int64()) for y in (0, 1)]
+            for y in (0, 1):
+                by[y].clear()
+                n[y] = 0
+            return pa.record_batch([pa.array([None, *names], pa.string()), *rows], ["feature", "n0", "n1"])
+
+        for batch in slices(batches, 64):
             for y, text in zip(batch.column(0).to_pylist(), as_texts(batch.column(1)), strict=True):
                 n[y] += 1
                 by[y].update({f for token in set(text.split()) for f in features_of(token)})
-        names = list(by[0].keys() | by[1].keys())
-        yield pa.record_batch([pa.array([None, *names], pa.string()), *[pa.array([n[y], *[by[y][f] for f in names]], pa.int64()) for y in (0, 1)]], ["feature", "n0", "n1"])
+            if len(by[0]) + len(by[1]) > 100_000:  # partial counts, so that memory doesn't follow the sample
+                yield partial()
+        yield partial()
 
     counts = cut(sample.mapInArrow(count, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
     whole = counts.where("feature is null").collect()
