@@ -129,12 +129,12 @@ def jn_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
 DEDUPE = f"""WITH RECURSIVE {rect_cte(dense=True)},
   o AS (SELECT sheet, ord, x0, top FROM r),
   walk AS (
-    SELECT sheet, 0::BIGINT AS at, []::STRUCT(x DOUBLE, y DOUBLE)[] AS kept FROM (SELECT DISTINCT sheet FROM o)
+    SELECT sheet, 0::BIGINT AS step, []::STRUCT(x DOUBLE, y DOUBLE)[] AS kept FROM (SELECT DISTINCT sheet FROM o)
     UNION ALL
-    SELECT w.sheet, w.at + 1, CASE WHEN len(list_filter(w.kept, lambda k: abs(k.x - o.x0) < 8 AND abs(k.y - o.top) < 8)) > 0 THEN w.kept ELSE list_append(w.kept, {{'x': o.x0, 'y': o.top}}) END
-    FROM walk w JOIN o ON o.sheet = w.sheet AND o.ord = w.at + 1),
-  ends AS (SELECT sheet, max(at) AS at FROM walk GROUP BY sheet)
-  SELECT w.sheet, len(w.kept)::BIGINT AS n, round(list_sum(list_transform(w.kept, lambda k: k.x)), 2) AS x FROM walk w JOIN ends e ON w.sheet = e.sheet AND w.at = e.at"""
+    SELECT w.sheet, w.step + 1, CASE WHEN len(list_filter(w.kept, lambda k: abs(k.x - o.x0) < 8 AND abs(k.y - o.top) < 8)) > 0 THEN w.kept ELSE list_append(w.kept, {{'x': o.x0, 'y': o.top}}) END
+    FROM walk w JOIN o ON o.sheet = w.sheet AND o.ord = w.step + 1),
+  ends AS (SELECT sheet, max(step) AS step FROM walk GROUP BY sheet)
+  SELECT w.sheet, len(w.kept)::BIGINT AS n, round(list_sum(list_transform(w.kept, lambda k: k.x)), 2) AS x FROM walk w JOIN ends e ON w.sheet = e.sheet AND w.step = e.step"""
 
 
 @query(DEDUPE)
