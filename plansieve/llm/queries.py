@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, huffman, licenses, media, mixing, ngram_join, packing, quality, toxicity
+from . import ann, huffman, licenses, media, mixing, ngram_join, packing, quality, quotes, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op3_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_blocks(spark, path)
 
 
+def op4_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = quotes.link_quotations(_table(spark, sf_dir, "conversations"))
+    return linked.withColumnRenamed("clean", "text")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_licenses": op2_licenses,
     "op3_huffman": op3_huffman,
+    "op4_quotes": op4_quotes,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
     "op7_media": op7_media,
