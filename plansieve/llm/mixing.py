@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, store
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -128,7 +128,7 @@ def _with_cuts(rows: DataFrame, cuts: DataFrame) -> DataFrame:
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42, period: int = 3, max_epochs: int = 3) -> DataFrame:
     """A row per document: doc_id, source, size, source_size, target, copies and taken words."""
     base = cut(measured(docs, id_col, text_col, source_col, seed))
-    return _with_cuts(base, cut(mix_cuts(base, period, max_epochs))).select(
+    return _with_cuts(base, store(mix_cuts(base, period, max_epochs), "cuts")).select(
         "doc_id", "source", "size", F.col("c_size").alias("source_size"), F.col("c_target").alias("target"), _copies().alias("copies"), (_copies() * F.col("size")).alias("taken")
     )
 
@@ -136,9 +136,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42, period: int = 3, max_epochs: int = 3) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``docs``.
 
-    Texts are never shuffled: the cuts, a row per source, are joined to the documents.
+    The cuts, a row per source, are stored, so that their size is known and Spark
+    broadcasts them as long as it is below its limit; texts aren't shuffled then.
     """
-    cuts = cut(mix_cuts(cut(measured(docs, id_col, text_col, source_col, seed)), period, max_epochs))
+    cuts = store(mix_cuts(cut(measured(docs, id_col, text_col, source_col, seed)), period, max_epochs), "cuts")
     row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
     rows = docs.select(row.alias("row"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).alias("size"), shuffle_key(id_col, seed).alias("key"))
     return _with_cuts(rows, cuts).where(_copies() > 0).select("row", F.explode(F.sequence(F.lit(1), _copies().cast("int")))).select("row.*")
