@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geometry as G
 from ..operators import extract
 from ..plans import recipe
 from ..sources import sinks
 from ..session import table
 from .geometry import NEARLY, PARTIAL, SHAPE
-from .registry import COLORS, hex_sql, query, rect_cte
+from .registry import COLORS, hex_sql, query
 from .relations import CROPS
 
 KEYS = ["sheet"]
