@@ -152,7 +152,7 @@ def top_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", T.nearest_scale(F.col("p_retailprice") / 500)["ratio"].alias("nearest"))
 
 
-@query("SELECT p_partkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) ELSE printf('%.2f MB', n / 1048576) END AS shown FROM (SELECT p_partkey, p_partkey * p_partkey * 8 AS n FROM part)")
+@query("SELECT p_partkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', floor(n / 1024 * 10 + 0.5::DOUBLE) / 10) ELSE printf('%.2f MB', floor(n / 1048576 * 100 + 0.5::DOUBLE) / 100) END AS shown FROM (SELECT p_partkey, p_partkey * p_partkey * 8 AS n FROM part)")
 def fn_filesize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", T.file_size(F.col("p_partkey") * F.col("p_partkey") * 8).alias("shown"))
 
