@@ -11,7 +11,6 @@ from __future__ import annotations
 import gc
 import os
 from functools import cache
-from itertools import chain
 
 import numpy as np
 
@@ -20,28 +19,86 @@ import numpy as np
 MARKS = ".,;:!?#$%&*|()\"-"
 
 
+class Table:
+    """Chunks by a 64-bit hash of their bytes, with their ids, all in flat arrays.
+
+    Open addressing; ``look`` gives entry numbers or -1, ``add`` takes new chunks.
+    """
+
+    def __init__(self, bits: int, kind: np.dtype):
+        self.mask = (1 << bits) - 1
+        self.keys, self.entry = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+        self.ids, self.used, self.n = np.zeros(1 << 16, kind), 0, 0
+        self.offset, self.length = np.zeros(1 << bits - 1, np.int64), np.zeros(1 << bits - 1, np.int32)
+
+    def look(self, h: np.ndarray) -> np.ndarray:
+        found = np.full(len(h), -1, np.int64)
+        slot = (h & np.uint64(self.mask)).astype(np.int64)
+        left = np.arange(len(h))
+        while len(left):
+            at = slot[left]
+            key = self.keys[at]
+            hit = key == h[left]
+            found[left[hit]] = self.entry[at[hit]]
+            left = left[~hit & (key != 0)]
+            slot[left] = slot[left] + 1 & self.mask
+        return found
+
+    def add(self, h: np.ndarray, ids: list[bytes | None]) -> np.ndarray:
+        """Entries of distinct new hashes; ids of None mark a chunk that doesn't stand alone (length -1)."""
+        flat = np.frombuffer(b"".join([x or b"" for x in ids]), self.ids.dtype)
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(self.ids), len(flat)), self.ids.dtype)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        size = np.array([len(x or b"") // self.ids.itemsize for x in ids], np.int64)
+        entries = np.arange(self.n, self.n + len(h))
+        self.offset[entries] = self.used + np.cumsum(size) - size
+        self.length[entries] = np.where([x is None for x in ids], -1, size)
+        self.used, self.n = self.used + len(flat), self.n + len(h)
+        slot, left = (h & np.uint64(self.mask)).astype(np.int64), np.arange(len(h))
+        while len(left):
+            free = left[self.keys[slot[left]] == 0]
+            at, first = np.unique(slot[free], return_index=True)
+            self.keys[at], self.entry[at] = h[free[first]], entries[free[first]]
+            left = left[self.keys[slot[left]] != h[left]]
+            slot[left] = slot[left] + 1 & self.mask
+        return entries
+
+
 class ChunkEncoder:
     """Ids of texts as little-endian integers of ``kind``: 16 bits where the vocabulary fits, else 32.
 
     ``keeps_space``: a space belongs to the word after it (byte-level files); otherwise
-    white space only separates. At most ``most`` chunks are remembered.
+    white space only separates. A chunk starts at a space, a line end or the start of
+    the text. About ``most`` chunks are remembered, under 64-bit hashes; then all are
+    forgotten.
     """
 
-    def __init__(self, path: str, keeps_space: bool, most: int = 600_000):
+    #: Bytes of text worked on at a time; longer texts go to the library.
+    GROUP = 1 << 19
+
+    def __init__(self, path: str, keeps_space: bool, most: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.keeps_space, self.most = keeps_space, most
-        self.known: dict[str, bytes | None] = {}
         self.cores: dict[str, bytes] = {}
-        self.fresh: list[str] = []
         vocabulary = self.library.get_vocab()
         self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         #: Ids that begin a word after a space, or that end a word: what parts the words of a joined text.
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
         self.edge[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if keeps_space else t.endswith("</w>"))]] = True
+        self.table = self._empty()
+        rng = np.random.default_rng(11)
+        self.values = rng.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
+        factor = 0x9E3779B97F4A7C15
+        self.power = np.cumprod(np.full(self.GROUP, factor, np.uint64))
+        self.inverse = np.cumprod(np.full(self.GROUP, pow(factor, -1, 1 << 64), np.uint64))
+
+    def _empty(self, least: int = 0) -> Table:
+        return Table(max(12, (2 * max(self.most, least)).bit_length()), self.kind)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Straight from the library."""
@@ -64,65 +121,100 @@ class ChunkEncoder:
                 last = end
         return out
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Remembers chunks. A word with marks after it is its letters' ids and the marks' ids: a piece never mixes the two."""
-        fold, words, rest = not self.keeps_space, {}, []
+    def _learn(self, chunks: list[str]) -> list[bytes | None]:
+        """Ids of chunks, or None where white space keeps one from standing alone.
+
+        A word with marks after it is its letters' ids and the marks' ids: a piece
+        never mixes the two.
+        """
+        fold, out, words, rest = not self.keeps_space, {}, {}, []
         for c in chunks:
-            core = c.rstrip(MARKS)
-            if core.isalpha() and (not fold or core.lower().isalpha()):
-                if fold and core.isascii():
-                    core = core.lower()
-                words[c] = core
+            core = c[1:].rstrip(MARKS)
+            if c[0] == " " and core.isalpha() and (not fold or core.lower().isalpha()):
+                words[c] = core.lower() if fold and core.isascii() else core
             else:
                 rest.append(c)
+        if len(self.cores) > 100_000:
+            self.cores.clear()
         new = list({core for core in words.values() if core not in self.cores})
         self.cores.update(zip(new, self._words(new), strict=True))
-        self.fresh = new
-        tails = {c[len(core) :] for c, core in words.items()}
+        tails = {c[len(core) + 1 :] for c, core in words.items()}
         tail_ids = dict(zip(tails, self.whole(list(tails)), strict=True))
         for c, core in words.items():
-            self.known[c] = self.cores[core] + tail_ids[c[len(core) :]]
-        spoken = [c if c[:1] == "\n" else f" {c}" for c in rest] if self.keeps_space else rest
-        for c, ids in zip(rest, self.whole(spoken), strict=True):
-            bare = c.removeprefix("\n") if self.keeps_space else c
-            fine = bare.split() == [bare] if self.keeps_space else not bare or bare.split() == [bare]
-            self.known[c] = ids if fine else None
+            out[c] = self.cores[core] + tail_ids[c[len(core) + 1 :]]
+        for c, ids in zip(rest, self.whole(rest), strict=True):
+            bare = c[1:] if c[0] in " \n" else c
+            alone = bare.split() == [bare] or (fold and not bare)
+            out[c] = ids if alone else None
+        return [out[c] for c in chunks]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, one after the other."""
         tracing = gc.isenabled()
-        gc.disable()  # nothing here is in a cycle, and what is remembered is much to look through
+        gc.disable()  # nothing here is in a cycle
         try:
-            return self._encode(texts)
+            raw = [t.encode("utf-8", "surrogatepass") if self.keeps_space else b" " + t.encode("utf-8", "surrogatepass").replace(b"\n", b" ") for t in texts]
+            out: list[bytes] = [b""] * len(texts)
+            group: list[int] = []
+            size = 0
+            for i, r in enumerate(raw):
+                if len(r) > self.GROUP // 2:
+                    out[i] = self.whole([texts[i]])[0]
+                    continue
+                if size + len(r) > self.GROUP:
+                    self._group(group, raw, texts, out)
+                    group, size = [], 0
+                group.append(i)
+                size += len(r)
+            self._group(group, raw, texts, out)
+            return out
         finally:
             if tracing:
                 gc.enable()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _group(self, group: list[int], raw: list[bytes], texts: list[str], out: list[bytes]) -> None:
+        buffer = b"".join([raw[i] for i in group])
+        if not buffer:
+            return
+        data = np.frombuffer(buffer, np.uint8)
+        size = np.array([len(raw[i]) for i in group])
+        begin = np.cumsum(size) - size
+        starts = data == 32
         if self.keeps_space:
-            cut = [t.replace("\n", " \n").split(" ") for t in texts]
-            heads = self.whole([c[0] for c in cut])
-            plain = [c[0].split() == [c[0]] for c in cut]
-            for c in cut:
-                del c[0]
-        else:
-            cut = [t.replace("\n", " ").split(" ") for t in texts]
-            heads, plain = [b""] * len(cut), [True] * len(cut)
-        new = set(chain.from_iterable(cut)).difference(self.known)
-        self.fresh = []
-        if new:
-            self._learn(list(new))
-        get, out = self.known.__getitem__, []
-        for text, head, ok, chunks in zip(texts, heads, plain, cut, strict=True):
-            try:
-                out.append(head + b"".join(map(get, chunks)) if ok else self.whole([text])[0])
-            except TypeError:  # a chunk with odd white space
-                out.append(self.whole([text])[0])
-        for held, added in ((self.known, new), (self.cores, self.fresh)):
-            if len(held) > self.most:  # the common ones came early; the rest lasts for its batch
-                for c in added:
-                    del held[c]
-        return out
+            starts |= data == 10
+        starts[begin[size > 0]] = True
+        start = np.flatnonzero(starts)
+        end = np.append(start[1:], len(data))
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.values[data] * self.power[: len(data)], out=total[1:])
+        h = (total[end] - total[start]) * self.inverse[start]
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+        h[h == 0] = 1
+        if self.table.n > self.most:
+            self.table = self._empty()
+        entry = self.table.look(h)
+        missing = np.flatnonzero(entry < 0)
+        if len(missing):
+            new, first, back = np.unique(h[missing], return_index=True, return_inverse=True)
+            if self.table.n + len(new) > len(self.table.offset):
+                self.table = self._empty(len(start))
+                return self._group(group, raw, texts, out)
+            chunks = [buffer[start[i] : end[i]].decode("utf-8", "surrogatepass") for i in missing[first].tolist()]
+            entry[missing] = self.table.add(new, self._learn(chunks))[back]
+        length = self.table.length[entry].astype(np.int64)
+        owner = np.searchsorted(begin, start, "right") - 1
+        odd = set(owner[length < 0].tolist())
+        length = np.maximum(length, 0)
+        done = np.cumsum(length)
+        ids = self.table.ids[np.repeat(self.table.offset[entry] - (done - length), length) + np.arange(done[-1])]
+        count = np.bincount(owner, length, len(group)).astype(np.int64)
+        stops = (np.cumsum(count) * self.kind.itemsize).tolist()
+        flat, last = ids.tobytes(), 0
+        for k, (i, stop) in enumerate(zip(group, stops, strict=True)):
+            out[i] = self.whole([texts[i]])[0] if k in odd else flat[last:stop]
+            last = stop
 
 
 @cache
