@@ -93,11 +93,11 @@ def filter_svg(text: str, limit: float, crop: tuple[float, float, float, float]
     return ET.tostring(root, encoding="unicode")
 
 
-def filtered_svg(svg: Column, max_luma: float) -> Column:
+def filtered_svg(svg: Column, max_luma: float, crop: tuple[float, float, float, float] | None = None) -> Column:
     """``filter_svg`` of every text of a column, in Arrow batches."""
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else filter_svg(t, max_luma))
+        return texts.map(lambda t: None if t is None else filter_svg(t, max_luma, crop))
 
     return run(svg)

@@ -146,6 +146,12 @@ def agg_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+@query(DEDUPE)
+def jn_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The self-comparison inside the dedupe is the fold itself."""
+    return agg_dedupe(spark, sf_dir)
+
+
 @query(f"WITH {rect_cte()}, {label_cte()}, {match_cte()}, {scale_cte()} SELECT sheet, round(scale, 6) AS scale FROM sc WHERE scale IS NOT NULL")
 def agg_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scales(spark, sf_dir).where("scale is not null").select("sheet", F.round("scale", 6).alias("scale"))

@@ -213,3 +213,11 @@ def snk_svg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The filtered pages themselves."""
     page = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg"><rect fill="'), F.when(F.col("p_size") > 25, "black").otherwise("white"), F.lit('"/></svg>'))
     return table(spark, sf_dir, "part").select("p_partkey", svg.filtered_svg(page, 0.02).alias("svg"))
+
+
+@query("SELECT p_partkey, p_size > 25 AS kept, '5 6 10 20' AS view FROM part")
+def geo_svgbuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages filtered and cut to a crop: whether the rectangle is left, and the view box."""
+    page = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" width="90" height="90"><rect fill="'), F.when(F.col("p_size") > 25, "black").otherwise("white"), F.lit('"/></svg>'))
+    built = table(spark, sf_dir, "part").select("p_partkey", svg.filtered_svg(page, 0.02, (5.0, 6.0, 15.0, 26.0)).alias("svg"))
+    return built.select("p_partkey", F.col("svg").contains("rect").alias("kept"), F.regexp_extract("svg", 'viewBox="([^"]*)"', 1).alias("view"))

@@ -13,7 +13,7 @@ from ..schema import OCR_TOKENS, RAW_OBJECTS
 
 
 class Decoder(Protocol):
-    """Turns a document's bytes into rows of RAW_OBJECTS without ``doc``."""
+    """Turns a document's bytes into rows of RAW_OBJECTS without ``doc``; a row of kind ``page`` has a page's width as x1 and its height as bottom."""
 
     def decode(self, content: bytes, pages: list[int] | None) -> Iterable[dict[str, Any]]: ...
 
@@ -39,6 +39,7 @@ class LibraryDecoder:
             for number, page in enumerate(pdf.pages, 1):
                 if pages is not None and number not in pages:
                     continue
+                yield {"page": number, "kind": "page", "ord": -1, "x0": 0.0, "top": 0.0, "x1": float(page.width), "bottom": float(page.height)}
                 found = [(kind, o) for kind, name in groups for o in getattr(page, name)] + [("word", w) for w in page.extract_words()]
                 for place, (kind, o) in enumerate(found):
                     color = {c: list(v) if isinstance(v := o.get(c), (tuple, list)) else None for c in ("stroke_color", "stroking_color", "non_stroking_color")}
