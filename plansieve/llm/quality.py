@@ -184,11 +184,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3) -> DataFrame:
-    """The documents with a score of at least ``threshold``, with all their columns and without a join of texts."""
+    """The documents with a score of at least ``threshold``, with all their columns.
+
+    Statistics, not texts, are joined to the labels; measuring texts twice costs less
+    than moving them.
+    """
     small_batches(docs.sparkSession)
-    wanted = labels.select(F.col(id_col).alias("l_id")).where("l_id is not null").distinct()
-    labelled = docs.join(wanted, docs[id_col] == wanted["l_id"], "left_semi")
-    model = train(store(document_statistics(labelled, id_col, text_col), "statistics"), labels, id_col, label_col)
+    model = train(store(document_statistics(docs, id_col, text_col), "statistics"), labels, id_col, label_col)
     position = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
