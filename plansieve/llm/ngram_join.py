@@ -10,10 +10,12 @@ dropped, and so are pairs whose parity signatures differ in more places than the
 symmetric difference may have members. What remains is checked on whole sets, and
 links become components by label propagation along hashed minima.
 
-The product runs twice: first a row is paired with only the first of its partners in
+``join_similar`` forms all pairs, so that links can be counted; a dense group of near
+copies costs its pairs there. Where only components are asked for (``one_of_each``), the
+product runs twice instead: first a row is paired with only the first of its partners in
 each column, and rows found to link are one component from then on; then with all of
-its partners in other components. So a dense group of near copies costs its members and
-not its pairs, while every link between components is found.
+its partners in other components. Every link between components is found that way, and
+the components are the same.
 
 Defined cases: null text and text without words has 0 n-grams and links with nothing;
 fewer than ``width`` words are one n-gram; rows with equal ids are copies of a document
@@ -174,10 +176,10 @@ def shared_entries(entries: DataFrame) -> DataFrame:
     return store(entries.join(shared, F.col("h") == F.col("c_h")).select("h", "c_n", "fp", "n", "pos"), "shared")
 
 
-def candidate_pairs(entries: DataFrame, classes: DataFrame, threshold: tuple[int, int], labels: DataFrame | None = None, block: int = 256) -> DataFrame:
+def candidate_pairs(entries: DataFrame, classes: DataFrame, threshold: tuple[int, int], labels: DataFrame | None = None, first_only: bool = False, block: int = 256) -> DataFrame:
     """The product: pairs (a, b) of rows that share a column and that no bound excludes; distinct.
 
-    Without ``labels``, each row of a column is paired with the first of its partners
+    With ``first_only``, each row of a column is paired with the first of its partners
     only, and a row that has partners but no pair comes out as (a, a). With ``labels``
     (node, component) of all rows that have partners, these are paired with all of their
     partners in other components.
@@ -186,7 +188,6 @@ def candidate_pairs(entries: DataFrame, classes: DataFrame, threshold: tuple[int
     blocks is a task's work of its own.
     """
     up, down = threshold
-    first_only = labels is None
     signed = classes.select(F.col("fp").alias("s_fp"), "sig")
     if labels is None:
         rows = entries.withColumn("label", F.col("fp"))
@@ -327,32 +328,44 @@ def partial_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return cut(least.join(least.select(F.col("node").alias("component"), F.col("component").alias("next")), "component").select("node", F.col("next").alias("component")).coalesce(8))
 
 
-def join_similar(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (90, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: doc_id, n_shingles, copies (documents with an equal set, itself included) and component_id.
-
-    Two documents link when 100 * |intersection| >= 90 * |union| (``threshold`` gives the two factors).
-    """
+def classes_of(docs: DataFrame, width: int, threshold: tuple[int, int], id_col: str, text_col: str, count_links: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, n, fp) and the classes of equal rows: fp, component, doc_id (the least), copies, and linked (rows of other classes that they link with) if these are counted."""
     small_batches(docs.sparkSession)
     bits = sketch_bits(docs.count())
     rows = rows_of(docs, width, bits, id_col, text_col)
-    found = rows.where("n is not null").select("doc_id", "n", "fp", "sig")
+    found = rows.where("n is not null").drop("chunk", "counts")
     classes = store(found.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "classes")
     entries = store(prefix_entries(docs, column_order(rows, bits), width, threshold, text_col), "entries", "lz4")
     shared = shared_entries(entries)
     discard(entries)
-    pairs = store(candidate_pairs(shared, classes, threshold), "pairs")
+    pairs = store(candidate_pairs(shared, classes, threshold, first_only=not count_links), "pairs")
     active = cut(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct())
     sets = whole_sets(docs, classes.join(active, "fp", "left_semi").select("doc_id", "fp"), width, id_col, text_col)
     links = cut(verified(pairs.where("a < b"), sets, threshold))
-    labels = partial_labels(active, links)
-    rest = candidate_pairs(shared, classes, threshold, labels).join(pairs, ["a", "b"], "left_anti")
-    more = cut(verified(store(rest, "pairs"), sets, threshold))
-    nodes = components(links.union(more))
-    labelled = classes.join(nodes, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("k_fp"), F.coalesce("component", "fp").alias("component"), "doc_id", "copies")
+    if not count_links:
+        labels = partial_labels(active, links)
+        rest = candidate_pairs(shared, classes, threshold, labels).join(pairs, ["a", "b"], "left_anti")
+        links = links.union(cut(verified(store(rest, "pairs"), sets, threshold)))
+    nodes = components(links)
+    if count_links:
+        sizes = classes.select("fp", "copies")
+        ends = links.select(F.col("a").alias("node"), F.col("b").alias("fp")).union(links.select(F.col("b").alias("node"), F.col("a").alias("fp")))
+        nodes = nodes.join(ends.join(sizes, "fp").groupBy("node").agg(F.sum("copies").alias("linked")), "node", "right")  # the least node of a component has no row of its own
+    labelled = classes.drop("sig").join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    return found, labelled
+
+
+def join_similar(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (90, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per document: doc_id, n_shingles, copies (documents with an equal set, itself included), n_links (documents it links with, copies counted) and component_id.
+
+    Two documents link when 100 * |intersection| >= 90 * |union| (``threshold`` gives the two factors).
+    """
+    found, labelled = classes_of(docs, width, threshold, id_col, text_col, True)
     names = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    final = labelled.drop("doc_id").join(names, "component").select("k_fp", "component_id", "copies")
+    n_links = F.col("copies") - 1 + F.coalesce("linked", F.lit(0))
+    final = labelled.drop("doc_id").join(names, "component").select(F.col("fp").alias("k_fp"), "component_id", "copies", n_links.alias("n_links"))
     own = F.when(F.col("n") > 0, F.col("fp"))
-    return found.withColumn("own", own).join(final, F.col("own") == F.col("k_fp"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return found.withColumn("own", own).join(final, F.col("own") == F.col("k_fp"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (90, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -360,7 +373,10 @@ def one_of_each(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (9
 
     Rows with equal ids stay or go together; they stay if one of them is the first.
     """
-    result = join_similar(docs, width, threshold, id_col, text_col)
+    found, labelled = classes_of(docs, width, threshold, id_col, text_col, False)
+    names = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    final = labelled.select("fp", "component").join(names, "component").select("fp", "component_id")
+    result = found.where("n > 0").join(final, "fp")
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     gone = cut(result.groupBy(F.col("doc_id").alias("gone")).agg(F.max(first).alias("stays")).where("not stays").select("gone"))
     return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")

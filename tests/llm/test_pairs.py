@@ -77,6 +77,19 @@ def test_join_blocks_and_empty(spark, nothing):
     assert ngram_join.join_similar(nothing).count() == 0
 
 
+def test_join_links(spark, messy):
+    """Links inside a dense group of near copies are counted, and copies with them."""
+    words = [f"w{i}" for i in range(80)]
+    texts = [" ".join(words[:i] + [f"v{i}"] + words[i + 1 :]) for i in range(0, 80, 2)] + [" ".join(words)] * 3
+    docs = messy.select("doc_id", "text").unionByName(spark.createDataFrame([(3000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    rows = docs.collect()
+    sets = sets_of(rows, 1)
+    near = lambda a, b: bool(a and b) and 100 * len(a & b) >= 95 * len(a | b)
+    want = sorted(((r["doc_id"], sum(near(a, b) for j, b in enumerate(sets) if j != i)) for i, (r, a) in enumerate(zip(rows, sets, strict=True))), key=repr)
+    got = sorted(((r["doc_id"], r["n_links"]) for r in ngram_join.join_similar(docs, 1, (95, 100)).collect()), key=repr)
+    assert got == want and dict(got)[3000] == 42
+
+
 def test_one_of_each(messy):
     kept = ngram_join.one_of_each(messy, 3, (90, 100))
     assert kept.columns == messy.columns
