@@ -19,7 +19,7 @@ the components are the same.
 
 Defined cases: null text and text without words has 0 n-grams and links with nothing;
 fewer than ``width`` words are one n-gram; rows with equal ids are copies of a document
-id like any other row and keep a row each; null ids never become a component's id
+id like any other row and keep a row each in ``join_similar``; null ids never become a component's id
 unless all its members have none; an empty table gives an empty result; other columns
 are ignored.
 """
@@ -92,9 +92,9 @@ def sketch_bits(n: int) -> int:
 
 
 def rows_of(docs: DataFrame, width: int, bits: int, id_col: str, text_col: str) -> DataFrame:
-    """Scan 1: n, fingerprint and signature of each document, and a sketch of the column counts per task; stored."""
+    """Scan 1: text key, n, fingerprint and signature of each document, and a sketch of the column counts per task; stored."""
     id_type = dict(docs.dtypes)[id_col]
-    names = ["doc_id", "n", "fp", "sig", "chunk", "counts"]
+    names = ["doc_id", "key", "n", "fp", "sig", "chunk", "counts"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, sketch, id_kind = Words(), np.zeros(1 << bits, np.uint16), None
@@ -104,13 +104,13 @@ def rows_of(docs: DataFrame, width: int, bits: int, id_col: str, text_col: str)
             at, n = np.unique((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
             sketch[at] += np.minimum(n, 65535 - sketch[at]).astype(np.uint16)  # stops at the largest value
             none = pa.nulls(len(sets))
-            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names)
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names)
         if id_kind is not None:
             chunks = [(i, c) for i, c in enumerate(sketch.reshape(-1, CHUNK)) if c.any()]
             none = pa.nulls(len(chunks))
-            yield pa.record_batch([pa.nulls(len(chunks), id_kind), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array([i for i, _ in chunks], pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for _, c in chunks], pa.binary())], names)
+            yield pa.record_batch([pa.nulls(len(chunks), id_kind), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array([i for i, _ in chunks], pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for _, c in chunks], pa.binary())], names)
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(scan, f"doc_id {id_type}, n long, fp long, sig binary, chunk int, counts binary")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_col, F.xxhash64(text_col).alias("key")).mapInArrow(scan, f"doc_id {id_type}, key long, n long, fp long, sig binary, chunk int, counts binary")
     return store(rows, "rows")
 
 
@@ -329,12 +329,12 @@ def partial_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def classes_of(docs: DataFrame, width: int, threshold: tuple[int, int], id_col: str, text_col: str, count_links: bool) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, n, fp) and the classes of equal rows: fp, component, doc_id (the least), copies, and linked (rows of other classes that they link with) if these are counted."""
+    """The rows (doc_id, key, n, fp) and the classes of equal rows: fp, component, doc_id (the least), least (the first row: null ids last, then by text key), copies, and linked (rows of other classes that they link with) if these are counted."""
     small_batches(docs.sparkSession)
     bits = sketch_bits(docs.count())
     rows = rows_of(docs, width, bits, id_col, text_col)
     found = rows.where("n is not null").drop("chunk", "counts")
-    classes = store(found.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "classes")
+    classes = store(found.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "key")).alias("least"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "classes")
     entries = store(prefix_entries(docs, column_order(rows, bits), width, threshold, text_col), "entries", "lz4")
     shared = shared_entries(entries)
     discard(entries)
@@ -369,14 +369,24 @@ def join_similar(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (
 
 
 def one_of_each(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (90, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are the first of their component, with all their columns.
+    """One row of each component, with all its columns: the first by id (null ids last), then fingerprint and text.
 
-    Rows with equal ids stay or go together; they stay if one of them is the first.
+    Rows are told apart by id and text; of rows with both equal, one stays by a hash of
+    all its columns. Documents without words link with nothing, so all of them stay.
     """
     found, labelled = classes_of(docs, width, threshold, id_col, text_col, False)
-    names = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    final = labelled.select("fp", "component").join(names, "component").select("fp", "component_id")
-    result = found.where("n > 0").join(final, "fp")
-    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = cut(result.groupBy(F.col("doc_id").alias("gone")).agg(F.max(first).alias("stays")).where("not stays").select("gone"))
-    return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
+    names = labelled.groupBy("component").agg(F.min("least").alias("one"))
+    ones = labelled.select("fp", "component").join(names, "component").select(F.col("fp").alias("k_fp"), "one")
+    stays = F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("fp") == F.col("one.fp")) & (F.col("key") == F.col("one.key"))
+    rows = found.where("n > 0").join(ones, F.col("fp") == F.col("k_fp"))
+    told = rows.groupBy(F.col("doc_id").alias("t_id"), F.col("key").alias("t_key")).agg(F.max(stays).alias("stays"), F.count("*").alias("times"))
+    told = cut(told.where("not stays or times > 1"))  # the rows that go, and those of which one stays
+    same = docs[id_col].eqNullSafe(told["t_id"]) & (F.xxhash64(docs[text_col]) == told["t_key"])
+    kept = docs.join(told, same, "left_anti")
+    repeated = told.where("stays")
+    if repeated.isEmpty():
+        return kept
+    whole = F.struct(*docs.columns)
+    order = F.xxhash64(*[c for c, t in docs.dtypes if "map<" not in t])
+    again = docs.join(repeated, docs[id_col].eqNullSafe(repeated["t_id"]) & (F.xxhash64(docs[text_col]) == repeated["t_key"]))
+    return kept.unionByName(again.groupBy("t_id", "t_key").agg(F.min_by(whole, order).alias("row")).select("row.*"))

@@ -97,6 +97,22 @@ def test_one_of_each(messy):
     assert 7 in ids and 8 not in ids and {0, 1, 2, 3} <= set(ids)  # 9 differs: only A-Z are lower-cased
 
 
+def test_one_row_of_each(spark, nothing):
+    """Repeated rows, ids with several texts and null ids: one row of each component stays."""
+    rng = random.Random(11)
+    base = [" ".join(rng.choice("abcdefghij") * 3 + str(rng.randint(0, 99)) for _ in range(60)) for _ in range(5)]
+    near = [b.rsplit(" ", 1)[0] + " other" for b in base]
+    rows = [(4, base[0], 1), (4, base[0], 1), (4, base[0], 2), (2, base[1], 1), (7, near[1], 1), (7, base[2], 1), (8, near[2], 1)]
+    rows += [(None, base[0], 1), (None, near[1], 1), (None, base[3], 1), (None, base[3], 1), (None, near[3], 2), (9, base[4], 1), (9, near[4], 1), (1, "", 1), (1, "", 1), (None, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, other int").repartition(3)
+    kept = ngram_join.one_of_each(docs, 3, (90, 100))
+    assert kept.columns == docs.columns
+    got = [tuple(r)[:2] for r in kept.collect()]
+    assert sorted((r for r in got if r[1]), key=repr)[:3] == [(2, base[1]), (4, base[0]), (7, base[2])]
+    assert sorted((str(i) for i, t in got if t)) == ["2", "4", "7", "9", "None"] and len([r for r in got if not r[1]]) == 3
+    assert ngram_join.one_of_each(nothing).count() == 0
+
+
 def exact(rows, queries_, k):
     out = {}
     for q, v in queries_:
