@@ -7,7 +7,8 @@ fixed size, ties by hash; two rows that reach the threshold must meet in the fir
 column is multiplied with itself (frequent ones in blocks of rows), pairs of rows whose
 lengths or places in the order bound the overlap below what the threshold needs are
 dropped, and so are pairs whose parity signatures differ in more places than the
-symmetric difference may have members. What remains is checked on whole sets, and
+symmetric difference may have members. Overlap counts are not accumulated in the
+product: it gives candidates only, and these are checked on whole sets. The
 links become components by label propagation along hashed minima.
 
 ``join_similar`` forms all pairs, so that links can be counted; a dense group of near
