@@ -3,7 +3,10 @@
 A text is cut at single spaces and line ends, places at which the pre-tokenizers of
 the supported files always start a new piece, so a text's ids are its chunks' ids in a
 row. Each distinct chunk is encoded by the tokenizers library once while it is
-remembered; texts with other white space, or with runs of it, go to the library whole.
+remembered. Chunks are looked up by a hash and then compared byte by byte. Texts with
+other white space, or with runs of it, texts that hold one of the file's added tokens and
+texts with a chunk whose hash another chunk has go to the library whole. The library is used as
+loaded: an added token that stands in a text gets its own id.
 """
 
 from __future__ import annotations
@@ -20,9 +23,10 @@ MARKS = ".,;:!?#$%&*|()\"-"
 
 
 class Table:
-    """Chunks by a 64-bit hash of their bytes, with their ids, all in flat arrays.
+    """Chunks by a 64-bit hash of their bytes, with these bytes and their ids, all in flat arrays.
 
-    Open addressing; ``look`` gives entry numbers or -1, ``add`` takes new chunks.
+    Open addressing; ``look`` gives the entry number of a hash or -1, ``add`` takes chunks
+    with new hashes, ``same`` compares chunks with the entries found for them.
     """
 
     def __init__(self, bits: int, kind: np.dtype):
@@ -30,6 +34,8 @@ class Table:
         self.keys, self.entry = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
         self.ids, self.used, self.n = np.zeros(1 << 16, kind), 0, 0
         self.offset, self.length = np.zeros(1 << bits - 1, np.int64), np.zeros(1 << bits - 1, np.int32)
+        self.text, self.filled = np.zeros(1 << 16, np.uint8), 0
+        self.place, self.size = np.zeros(1 << bits - 1, np.int64), np.zeros(1 << bits - 1, np.int32)
 
     def look(self, h: np.ndarray) -> np.ndarray:
         found = np.full(len(h), -1, np.int64)
@@ -44,14 +50,32 @@ class Table:
             slot[left] = slot[left] + 1 & self.mask
         return found
 
-    def add(self, h: np.ndarray, ids: list[bytes | None]) -> np.ndarray:
+    def same(self, entry: np.ndarray, data: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Whether each chunk has the bytes of its entry; the chunks follow one another in ``data`` from ``start``."""
+        size = np.diff(np.append(start, len(data)))
+        equal = size == self.size[entry]
+        if equal.all():
+            return np.logical_and.reduceat(self.text[np.repeat(self.place[entry] - start, size) + np.arange(len(data))] == data, start)
+        for i in np.flatnonzero(equal).tolist():
+            at, n = int(self.place[entry[i]]), int(size[i])
+            equal[i] = (self.text[at : at + n] == data[start[i] : start[i] + n]).all()
+        return equal
+
+    def add(self, h: np.ndarray, chunks: list[bytes], ids: list[bytes | None]) -> np.ndarray:
         """Entries of distinct new hashes; ids of None mark a chunk that doesn't stand alone (length -1)."""
+        words = np.frombuffer(b"".join(chunks), np.uint8)
+        if self.filled + len(words) > len(self.text):
+            self.text = np.concatenate([self.text[: self.filled], np.zeros(max(len(self.text), len(words)), np.uint8)])
+        self.text[self.filled : self.filled + len(words)] = words
         flat = np.frombuffer(b"".join([x or b"" for x in ids]), self.ids.dtype)
         if self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(self.ids), len(flat)), self.ids.dtype)])
         self.ids[self.used : self.used + len(flat)] = flat
         size = np.array([len(x or b"") // self.ids.itemsize for x in ids], np.int64)
         entries = np.arange(self.n, self.n + len(h))
+        each = np.array([len(c) for c in chunks], np.int64)
+        self.place[entries], self.size[entries] = self.filled + np.cumsum(each) - each, each
+        self.filled += len(words)
         self.offset[entries] = self.used + np.cumsum(size) - size
         self.length[entries] = np.where([x is None for x in ids], -1, size)
         self.used, self.n = self.used + len(flat), self.n + len(h)
@@ -70,19 +94,20 @@ class ChunkEncoder:
 
     ``keeps_space``: a space belongs to the word after it (byte-level files); otherwise
     white space only separates. A chunk starts at a space, a line end or the start of
-    the text. About ``most`` chunks are remembered, under 64-bit hashes; then all are
+    the text. About ``most`` chunks are remembered, of ``MOST_BYTES`` together; then all are
     forgotten.
     """
 
     #: Bytes of text worked on at a time; longer texts go to the library.
     GROUP = 1 << 19
+    MOST_BYTES = 1 << 25
 
     def __init__(self, path: str, keeps_space: bool, most: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content.lower().encode() for t in self.library.get_added_tokens_decoder().values()]
         self.keeps_space, self.most = keeps_space, most
         self.cores: dict[str, bytes] = {}
         vocabulary = self.library.get_vocab()
@@ -192,7 +217,7 @@ class ChunkEncoder:
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
         h[h == 0] = 1
-        if self.table.n > self.most:
+        if self.table.n > self.most or self.table.filled > self.MOST_BYTES:
             self.table = self._empty()
         entry = self.table.look(h)
         missing = np.flatnonzero(entry < 0)
@@ -201,11 +226,14 @@ class ChunkEncoder:
             if self.table.n + len(new) > len(self.table.offset):
                 self.table = self._empty(len(start))
                 return self._group(group, raw, texts, out)
-            chunks = [buffer[start[i] : end[i]].decode("utf-8", "surrogatepass") for i in missing[first].tolist()]
-            entry[missing] = self.table.add(new, self._learn(chunks))[back]
+            chunks = [buffer[start[i] : end[i]] for i in missing[first].tolist()]
+            entry[missing] = self.table.add(new, chunks, self._learn([c.decode("utf-8", "surrogatepass") for c in chunks]))[back]
         length = self.table.length[entry].astype(np.int64)
         owner = np.searchsorted(begin, start, "right") - 1
-        odd = set(owner[length < 0].tolist())
+        odd = set(owner[(length < 0) | ~self.table.same(entry, data, start)].tolist())
+        lower = buffer.lower()
+        if any(t in lower for t in self.added):
+            odd.update(k for k, i in enumerate(group) if any(t in raw[i].lower() for t in self.added))
         length = np.maximum(length, 0)
         done = np.cumsum(length)
         ids = self.table.ids[np.repeat(self.table.offset[entry] - (done - length), length) + np.arange(done[-1])]

@@ -25,11 +25,30 @@ def test_chunks_equal_whole_texts(name, keeps_space):
         assert encoder.encode(texts) == encoder.whole(texts)
 
 
+def thue_morse(a, b, doublings=10):
+    """A word whose hash by any power series modulo 2**64 is that of the same word with letters swapped."""
+    for _ in range(doublings):
+        a, b = a + b, b + a
+    return a
+
+
+@pytest.mark.parametrize(("name", "keeps_space"), FILES)
+def test_equal_hashes_and_added_tokens(name, keeps_space):
+    one, two = thue_morse("a", "b"), thue_morse("b", "a")
+    texts = [one, two, f"x {one} y", f"x {two} y", f"{two} {one}", "a <|endoftext|> b", "a<|ENDOFTEXT|>b", "<|startoftext|>x", "plain words"]
+    want = [reference(name, t)[:-1].tolist() for t in texts]
+    assert want[0] != want[1]
+    for order in (range(len(texts)), range(len(texts) - 1, -1, -1)):
+        single, together = (tokens.ChunkEncoder(public.path(name), keeps_space) for _ in range(2))
+        got = [single.encode([texts[i]])[0] for i in order]
+        assert got == together.encode([texts[i] for i in order])
+        assert [np.frombuffer(x, single.kind).tolist() for x in got] == [want[i] for i in order]
+
+
 def reference(name, text):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(public.path(name))
-    library.encode_special_tokens = True
     return np.array([*library.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
 
 
