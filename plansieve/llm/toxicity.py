@@ -6,22 +6,27 @@ probability is 1 - prod(1 - p). Only document labels are used in training; the
 sentence scores locate the offending sentences afterwards. Features are a word and
 its prefixes of 3 to 6 letters, so inflected forms share evidence.
 
-Training uses at most ``max_train`` labelled documents (those with the smallest hash
-of the id; copies of a text count once); the features kept are those whose document
-frequency differs between the classes by ``min_z`` standard errors.
+A sentence's features are a set, in training as in scoring. Training uses at most
+``max_train`` labelled documents (those with the smallest hash of the id; copies of a text
+count once). Features enter whose document frequency differs between the classes by
+``min_z`` standard errors, or by half of the largest difference there is if that is less,
+and which ``min_docs`` toxic documents hold (all, if there are fewer); a ridge shrinks
+their weights.
 
 Defined cases: null and empty texts have no sentence and score 0; null ids are held
 in training never; a label given twice counts by its maximum; without labels of both
-classes every score is 0; an empty table gives an empty result; other columns are
+classes, or without a feature that is more frequent in toxic documents, every score is 0; an empty table gives an empty result; other columns are
 ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,66 +55,84 @@ def remainder(id_col: str, divisor: int) -> Column:
 class NoisyOr:
     """A trained model; small whatever the corpus."""
 
-    bias: float = -30.0
+    bias: float = -math.inf
     weights: dict[str, float] = field(default_factory=dict)
 
-    def tokens(self, most: int = 200_000) -> dict[str, float]:
-        """Token to summed weight, filled as tokens are met and emptied at ``most`` entries."""
+    def tokens(self, most: int = 200_000) -> dict[str, tuple[str, ...]]:
+        """Token to those of its features that have a weight, filled as tokens are met and emptied at ``most`` entries."""
         weights = self.weights
 
         class Seen(dict):
-            def __missing__(self, token: str) -> float:
+            def __missing__(self, token: str) -> tuple[str, ...]:
                 if len(self) >= most:
                     self.clear()
-                value = self[token] = sum(weights.get(f, 0.0) for f in features_of(token))
+                value = self[token] = tuple(f for f in features_of(token) if f in weights)
                 return value
 
         return Seen()
 
-    def sentences(self, text: str, tokens: dict[str, float]) -> list[float]:
+    def sentences(self, text: str, tokens: dict[str, tuple[str, ...]]) -> list[float]:
         """The logit of each sentence, in order."""
-        get, bias = tokens.__getitem__, self.bias
-        return [bias + sum(map(get, s.split())) for s in SENTENCE.split(text) if s.strip()]
+        get, bias, weight, out = tokens.__getitem__, self.bias, self.weights.__getitem__, []
+        for s in SENTENCE.split(text):
+            if s.strip():
+                held = list(filter(None, map(get, s.split())))
+                out.append(bias + math.fsum(map(weight, set(chain.from_iterable(held)))) if held else bias)
+        return out
 
     @staticmethod
     def combine(logits: list[float]) -> float:
         """Noisy-or of sentence logits."""
         if not logits:
             return 0.0
-        z = np.clip(np.asarray(logits), -40, 40)
+        z = np.minimum(np.asarray(logits), 40)
         return float(-np.expm1(-np.logaddexp(0, z).sum()))
 
 
-def fit_noisy_or(bags: list[tuple[int, int, list[list[int]]]], n_features: int, rounds: int = 400, rate: float = 0.15, ridge: float = 2e-5) -> tuple[float, np.ndarray]:
-    """Bias and weights by Adam on the mean log-likelihood.
+class Objective:
+    """The mean log-likelihood of bags, less a ridge, with its gradient.
 
-    bags: label, sentences without any feature, and the features of the others.
+    bags: label, sentences without any feature, and the features of the others. Parameters
+    are the weights, then the bias.
     """
-    y = np.array([b[0] for b in bags], float)
-    plain = np.array([b[1] for b in bags], float)
-    bag_of = np.array([i for i, b in enumerate(bags) for _ in b[2]], np.int64)
-    lists = [f for b in bags for f in b[2]]
-    row = np.repeat(np.arange(len(lists)), [len(f) for f in lists])
-    col = np.fromiter((x for f in lists for x in f), np.int64)
+
+    def __init__(self, bags: list[tuple[int, int, list[list[int]]]], n_features: int, ridge: float):
+        self.n, self.ridge = n_features, ridge
+        self.y, self.plain = np.array([b[0] for b in bags], float), np.array([b[1] for b in bags], float)
+        self.bag_of = np.array([i for i, b in enumerate(bags) for _ in b[2]], np.int64)
+        lists = [f for b in bags for f in b[2]]
+        self.row = np.repeat(np.arange(len(lists)), [len(f) for f in lists])
+        self.col = np.fromiter((x for f in lists for x in f), np.int64)
+
+    def __call__(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
+        n = len(self.y)
+        z = np.clip(theta[-1] + np.bincount(self.row, theta[self.col], len(self.bag_of)), -30, 30)
+        z0 = np.clip(theta[-1], -30, 30)
+        none = self.plain * np.logaddexp(0, z0) + np.bincount(self.bag_of, np.logaddexp(0, z), n)  # -log of no toxic sentence
+        p_doc = np.clip(-np.expm1(-none), 1e-9, 1)
+        value = float(np.where(self.y == 1, np.log(p_doc), -none).mean() - self.ridge / 2 * (theta[:-1] ** 2).sum())
+        pull = np.where(self.y == 1, (1 - p_doc) / p_doc, -1.0) / n
+        by_sentence = pull[self.bag_of] / (1 + np.exp(-z))
+        slope = np.empty_like(theta)
+        slope[:-1] = np.bincount(self.col, by_sentence[self.row], self.n) - self.ridge * theta[:-1]
+        slope[-1] = by_sentence.sum() + (pull * self.plain).sum() / (1 + np.exp(-z0))
+        return value, slope
+
+
+def fit_noisy_or(bags: list[tuple[int, int, list[list[int]]]], n_features: int, rounds: int = 400, rate: float = 0.15, ridge: float = 2e-5) -> tuple[float, np.ndarray]:
+    """Bias and weights that make the objective large, by Adam."""
+    objective = Objective(bags, n_features, ridge)
     theta = np.zeros(n_features + 1)
     theta[-1] = -5.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
-        z = np.clip(theta[-1] + np.bincount(row, theta[col], len(lists)), -30, 30)
-        z0 = np.clip(theta[-1], -30, 30)
-        none = plain * np.logaddexp(0, z0) + np.bincount(bag_of, np.logaddexp(0, z), len(bags))  # -log of no toxic sentence
-        p_doc = np.clip(-np.expm1(-none), 1e-9, 1)
-        pull = np.where(y == 1, (1 - p_doc) / p_doc, -1.0) / len(bags)
-        by_sentence = pull[bag_of] / (1 + np.exp(-z))
-        grad = np.empty_like(theta)
-        grad[:-1] = np.bincount(col, by_sentence[row], n_features) - ridge * theta[:-1]
-        grad[-1] = by_sentence.sum() + (pull * plain).sum() / (1 + np.exp(-z0))
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        _, slope = objective(theta)
+        m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
         theta += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-10)
     return float(theta[-1]), theta[:-1]
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = 20_000, min_docs: int = 3, min_z: float = 6.0, max_features: int = 20_000) -> NoisyOr:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = 20_000, min_docs: int = 3, min_z: float = 6.0) -> NoisyOr:
     """Fits the model to at most ``max_train`` labelled rows; every row of ``labels`` may be used."""
     small_batches(docs.sparkSession)
     chosen = (
@@ -149,7 +172,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return NoisyOr()
     rate0, rate1 = F.col("n0") / n0, F.col("n1") / n1
     z = (rate1 - rate0) / F.sqrt((F.col("n0") + F.col("n1")) / (float(n0) * n1))
-    kept = [r[0] for r in counts.where(F.col("feature").isNotNull() & (F.col("n1") >= min_docs) & (z >= min_z)).orderBy(z.desc(), "feature").limit(max_features).select("feature").collect()]
+    judged = counts.where(F.col("feature").isNotNull() & (F.col("n1") >= min(min_docs, n1)) & (z > 0)).select("feature", z.alias("z"))
+    most = judged.agg(F.max("z")).first()[0] or 0.0
+    kept = [r[0] for r in judged.where(F.col("z") >= min(min_z, most / 2)).orderBy("feature").select("feature").collect()]  # words of the sample
     if not kept:
         return NoisyOr()
     number = {f: i for i, f in enumerate(kept)}

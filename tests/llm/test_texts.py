@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,14 +46,52 @@ def test_toxicity(spark, messy, nothing):
     model = toxicity.train(docs, labels.where(held != 1))
     scored = toxicity.score_toxicity(docs, model).join(labels, "doc_id").where(held == 1)
     hits = {(r["toxic"], r["score"] >= 0.7): r["count"] for r in scored.groupBy("toxic", (F.col("score") >= 0.7).alias("score")).count().withColumn("score", F.col("score").cast("int")).collect()}
-    assert hits.get((0, True), 0) == 0 and hits.get((1, True), 0) >= hits.get((1, False), 0)
+    assert hits.get((0, True), 0) == 0 and hits.get((1, True), 0) >= 9 * hits.get((1, False), 0)
     worst = scored.where("score >= 0.7 and size(offending) > 0").count()
     assert worst > 0
     assert toxicity.score_toxicity(messy, model).count() == messy.count()
     assert {r["score"] for r in toxicity.score_toxicity(messy, model).where("n_sentences = 0").collect()} == {0.0}
     assert toxicity.drop_toxic(messy, model).columns == messy.columns
     none = toxicity.train(nothing, labels)
-    assert {r["score"] for r in toxicity.score_toxicity(messy, none).collect()} <= {0.0} or all(r["score"] < 1e-6 for r in toxicity.score_toxicity(messy, none).collect())
+    assert {r["score"] for r in toxicity.score_toxicity(messy, none).collect()} == {0.0}
+
+
+def test_toxicity_few_labels(spark):
+    """A few labels that separate the classes are enough, and each sentence counts once."""
+    docs = spark.createDataFrame([(i, f"Good day number {i}. " + ("You vile creature. " if i % 2 else "You kind creature. ") + "Bye.") for i in range(40)], "doc_id long, text string")
+    model = toxicity.train(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic")))
+    assert model.weights
+    scored = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, model).collect()}
+    assert all((r["score"] >= 0.7) == bool(i % 2) and r["offending"] == [1] * (i % 2) for i, r in scored.items())
+    tokens = model.tokens()
+    assert model.sentences("vile vile vile", tokens) == model.sentences("vile", tokens)
+
+
+def test_noisy_or_by_hand():
+    """Scores from sets of features, multiplied out sentence by sentence; slopes by differences."""
+    model = toxicity.NoisyOr(-2.0, {"bad": 3.0, "bad~": -0.5, "wor~": 1.5})
+    text = "Bad things, bad day! A badger. words\n\nnothing here"
+    logits = [-2.0 + 3.0, -2.0 - 0.5, -2.0 + 1.5, -2.0]
+    assert model.sentences(text, model.tokens()) == pytest.approx(logits)
+    none = 1.0
+    for z in logits:
+        none *= 1 - 1 / (1 + math.exp(-z))
+    assert model.combine(logits) == pytest.approx(1 - none) and model.combine([]) == 0
+    rng = np.random.default_rng(6)
+    bags = [(int(rng.random() < 0.4), int(rng.integers(0, 3)), [sorted(set(rng.integers(0, 6, rng.integers(1, 5)).tolist())) for _ in range(rng.integers(0, 4))]) for _ in range(30)]
+    objective, theta = toxicity.Objective(bags, 6, 0.01), rng.standard_normal(7)
+    value, slope = objective(theta)
+    by_hand = 0.0
+    for y, plain, lists in bags:
+        none = (1 - 1 / (1 + math.exp(-theta[-1]))) ** plain
+        for f in lists:
+            none *= 1 - 1 / (1 + math.exp(-(theta[-1] + sum(theta[x] for x in f))))
+        by_hand += math.log(max(1 - none, 1e-9) if y else none)
+    assert value == pytest.approx(by_hand / len(bags) - 0.005 * (theta[:-1] ** 2).sum())
+    for k in range(7):
+        if all(y == 0 or plain or lists for y, plain, lists in bags):
+            near = [objective(theta + d * 1e-6 * (np.arange(7) == k))[0] for d in (1, -1)]
+            assert slope[k] == pytest.approx((near[0] - near[1]) / 2e-6, abs=1e-5)
 
 
 def test_quality(spark, messy, nothing):
