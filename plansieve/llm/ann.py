@@ -1,27 +1,31 @@
 """Nearest neighbours by inner product with collision-counting hashing.
 
-Vectors get one more coordinate, sqrt(M^2 - |x|^2) for the largest norm M, and queries
-are scaled to norm M with 0 there, so that the largest inner product is the smallest
-distance. Each hash function is a single random projection. A block of vectors keeps,
+Vectors get one more coordinate, sqrt(M^2 - |x|^2) for the largest norm M of their block,
+and queries are scaled to norm M with 0 there, so that the largest inner product is the
+smallest distance. Each hash function is a single random projection. A block of vectors keeps,
 for every projection, its values in sorted order; a query's window in each of them is
 centred on the query's own value, and virtual rehashing widens all windows by a factor
 until enough vectors lie in at least ``share`` of the windows. These are verified with
 exact inner products of the original vectors.
 
-Vectors and queries are dealt into blocks by hash, each pair of blocks is a task, and
-the best of each pair are merged for each query.
+Vectors are dealt into blocks by hash, once. Each block is indexed once, and the queries,
+sent to every block, stream past it; the best of each block are merged for each query. For
+hashing alone vectors and queries are scaled by powers of two, so that no component is
+too small or too large to be squared.
 
 Defined cases: rows whose id is null, or whose vector is null, zero or holds null or
 non-finite components take no part; of the rest only vectors of the most frequent
 length do (of equally frequent ones the longest); of rows with equal ids the smallest
-vector, in the order of arrays, counts; equal scores go to the smaller id; fewer
-candidates than k give all; an empty table gives an empty result; other columns are
+vector, in the order of arrays, counts; equal scores go to the smaller id; a sum that
+overflows is infinite, and one that is undefined (infinite terms of both signs) counts as
+minus infinity; fewer candidates than k give all; an empty table gives an empty result; other columns are
 ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +33,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, slices, small_batches
 
-#: Rows of a block of vectors and of a block of queries.
-BLOCK, QUERY_BLOCK = 1 << 15, 1024
+#: The most rows of a block of vectors, and the least that it is cut into to keep a cluster busy.
+BLOCK, LEAST_BLOCK = 1 << 15, 1 << 12
 
 
 def usable(vector: str) -> Column:
@@ -48,101 +52,132 @@ def distinct_rows(x: np.ndarray) -> np.ndarray:
     return np.array([seen.setdefault(r.tobytes(), i) for i, r in enumerate(x)], np.int64)
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Each row divided by a power of two, so that its largest component is between 1/2 and 1."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(-1, keepdims=True))[1])
+
+
 class Windows:
     """Sorted single projections of a block of vectors."""
 
-    def __init__(self, vectors: np.ndarray, norm: float, projections: int, share: float, seed: int):
+    def __init__(self, vectors: np.ndarray, projections: int, share: float, seed: int):
         n, d = vectors.shape
+        if projections > 255 or n > 1 << 16:
+            raise ValueError("at most 255 projections of at most 65536 vectors")
         rng = np.random.default_rng(seed)
         self.a = rng.standard_normal((d + 1, projections))
-        last = np.sqrt(np.maximum(norm**2 - (vectors**2).sum(1), 0))
-        values = vectors @ self.a[:-1] + last[:, None] * self.a[-1]
+        vectors = unit(vectors.reshape(1, -1)).reshape(n, d)
+        self.coarse = vectors.astype(np.float32)
+        squares = (vectors**2).sum(1)
+        self.norm = math.sqrt(squares.max())
+        values = vectors @ self.a[:-1] + np.sqrt(np.maximum(squares.max() - squares, 0))[:, None] * self.a[-1]
         order = np.argsort(values, axis=0, kind="stable").T
         self.sorted = np.sort(values, axis=0).T.copy()
         self.place = np.empty(order.shape, np.uint16)  # where each vector stands in each sorted array
         np.put_along_axis(self.place, order, np.arange(n, dtype=np.uint16)[None, :], axis=1)
-        self.n, self.norm, self.least = n, norm, math.ceil(share * projections)
-        self.width = float(values.std()) or 1.0
+        self.n, self.least = n, math.ceil(share * projections)
+        self.half = 0.5 * (float(values.std()) or 1.0)
 
-    def project(self, queries: np.ndarray) -> np.ndarray:
-        return (queries * (self.norm / np.sqrt((queries**2).sum(1)))[:, None]) @ self.a[:-1]
+    def directions(self, queries: np.ndarray) -> np.ndarray:
+        """Queries of norm 1."""
+        scaled = unit(queries)
+        return scaled / np.sqrt((scaled**2).sum(1))[:, None]
 
     def candidates(self, at: np.ndarray, half: float) -> np.ndarray:
         """The vectors that stand in enough of the windows of this half-width around a query's projections."""
-        count = np.zeros(self.n, np.uint8)
+        count, full = np.zeros(self.n, np.uint8), 0
         for place, values, x in zip(self.place, self.sorted, at.tolist(), strict=True):
             low, high = values.searchsorted((x - half, x + half))
             if high - low == self.n:
-                count += 1
+                full += 1
             elif high > low:
                 count += place - np.uint16(low) < np.uint16(high - low)  # wraps below the window, so one comparison does
-        return np.flatnonzero(count >= self.least)
+        if full >= self.least:
+            return np.arange(self.n)
+        return np.flatnonzero(count >= self.least - full)
 
-    def search(self, queries: np.ndarray, wanted: int, factor: float = 1.03):
+    def search(self, directions: np.ndarray, wanted: int, factor: float = 1.03) -> Iterator[np.ndarray]:
         """For each query the vectors to verify: at least ``wanted``, or all if there are fewer.
 
-        Virtual rehashing starts from the width that served the query before.
+        Virtual rehashing starts from the width that served the query before. It ends at
+        the latest when the windows hold whole arrays.
         """
-        wanted, half = min(wanted, self.n), 0.5 * self.width
-        for at in self.project(queries):
-            hits, widened = self.candidates(at, half), False
+        wanted = min(wanted, self.n)
+        for at in (self.norm * directions) @ self.a[:-1]:
+            hits, widened = self.candidates(at, self.half), False
             while len(hits) < wanted:
-                half *= factor
-                hits, widened = self.candidates(at, half), True
+                self.half *= factor
+                hits, widened = self.candidates(at, self.half), True
             if not widened and len(hits) > 1.1 * wanted:  # narrower for the next query; this one keeps what it has
-                half /= factor
+                self.half /= factor
             yield hits
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", projections: int = 64, share: float = 0.7, verify: float = 0.2, seed: int = 7, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", projections: int = 128, share: float = 0.7, verify: float = 0.15, least: int = 400, seed: int = 7, block: int = BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k best found for each row that ``queries`` marks.
 
-    Windows grow until they reach at least the share ``verify`` of a block's vectors, and 50 * k.
+    Windows grow until they reach at least the share ``verify`` of a block's vectors, and ``least``.
     """
+    small_batches(vectors.sparkSession)
     valid = vectors.where(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("vec_id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
     valid = valid.groupBy("vec_id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
     valid = cut(valid.withColumn("d", F.size("v")))
-    shapes = valid.groupBy("d").agg(F.count("*").alias("n"), F.count_if("q").alias("nq"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("norm"))
-    top = shapes.orderBy(F.desc("n"), F.desc("d")).first()
-    d, n, n_queries, norm = (top["d"], top["n"], top["nq"], top["norm"]) if top else (0, 0, 0, 0.0)
+    top = valid.groupBy("d").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
+    d, n = (top["d"], top["n"]) if top else (0, 0)
+    parts = max(1, math.ceil(n / block), min(vectors.sparkSession.sparkContext.defaultParallelism, n // LEAST_BLOCK))
     rows = valid.where(F.col("d") == d)
-    parts, query_parts = max(1, math.ceil(n / block)), max(1, math.ceil(n_queries / query_block))
-    hashed = F.xxhash64("vec_id")
-    left = rows.withColumn("part", F.pmod(hashed, F.lit(parts))).withColumn("query_part", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1)))).select("part", "query_part", "vec_id", "v")
-    right = rows.where("q").withColumn("query_part", F.pmod(hashed, F.lit(query_parts)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).select("part", "query_part", "vec_id", "v")
+    placed = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("kind"), "vec_id", "v")
+    asked = rows.where("q").select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("kind"), "vec_id", "v")
     id_type = dict(valid.dtypes)["vec_id"]
 
-    def matrix(column: pa.ChunkedArray) -> np.ndarray:
-        return np.concatenate([c.flatten().to_numpy() for c in column.chunks]).reshape(-1, d)
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
-        kind = left.schema.field("vec_id").type
-        out: list[tuple] = []
-        if left.num_rows and right.num_rows:
-            left = left.sort_by("vec_id")
-            ids, x = np.array(left.column("vec_id").to_pylist(), object), matrix(left.column("v"))
-            first = distinct_rows(x)
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, index = None, [], None
+
+        def built() -> tuple[Windows, np.ndarray, list[list]]:
+            """The block's windows, distinct vectors and their ids."""
+            ids, x = [i for a, _ in held for i in a], np.concatenate([b for _, b in held])
             members: dict[int, list] = {}
-            for i, f in enumerate(first.tolist()):
+            for i, f in enumerate(distinct_rows(x).tolist()):
                 if len(members.setdefault(f, [])) <= k:  # of equal vectors the k + 1 smallest ids are enough
                     members[f].append(ids[i])
-            keys = sorted(members)
-            x = x[keys]
-            windows = Windows(x, norm, projections, share, seed)
-            q, coarse = matrix(right.column("v")), x.astype(np.float32)
-            wanted = max(50 * k, math.ceil(verify * len(keys)))
-            for query, vector, hits in zip(right.column("vec_id").to_pylist(), q, windows.search(q, wanted), strict=True):
-                if len(hits) > k + 1:  # single precision leaves out only what is below the best by more than its error
-                    rough = coarse[hits] @ vector.astype(np.float32)
-                    margin = 1e-5 * norm * math.sqrt(float(vector @ vector))
+            x = x[list(members)]
+            return Windows(x, projections, share, seed), x, list(members.values())
+
+        def best(q: np.ndarray, query_ids: list) -> list[tuple]:
+            windows, x, names = index
+            out, directions, top = [], windows.directions(q), float(np.abs(x).max()) * d
+            for query, vector, direction, hits in zip(query_ids, q, directions, windows.search(directions, max(least, math.ceil(verify * windows.n))), strict=True):
+                reach = top * float(np.abs(vector).max())
+                if len(hits) > k + 1 and 1e-290 < reach < 1e300:  # nothing over- or underflows; single precision leaves out only what is below the best by more than its error
+                    rough = windows.coarse[hits] @ direction.astype(np.float32)
+                    margin = 2 * d * 2.0**-23 * windows.norm
                     hits = hits[rough >= np.partition(rough, -k - 1)[-k - 1] - margin]
-                scores = (x[hits] * vector).sum(1)
-                best = [(-s, i) for h, s in zip(hits.tolist(), scores.tolist(), strict=True) for i in members[keys[h]] if i != query]
-                out += [(query, i, -s) for s, i in sorted(best)[:k]]
-        cols = list(zip(*out, strict=True)) or [()] * 3
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (kind, kind, pa.float64()), strict=True)], names)
-
-    found = left.groupBy("part", "query_part").cogroup(right.groupBy("part", "query_part")).applyInArrow(search, f"query_id {id_type}, vec_id {id_type}, score double")
+                with np.errstate(over="ignore", invalid="ignore"):
+                    scores = (x[hits] * vector).sum(1)
+                scores[np.isnan(scores)] = -np.inf
+                found = [(-s, i) for h, s in zip(hits.tolist(), scores.tolist(), strict=True) for i in names[h] if i != query]
+                out += [(query, i, -s) for s, i in sorted(found)[:k]]
+            return out
+
+        for batch in slices(batches, 1000):
+            at, kinds, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            flat = batch.column(3).flatten().to_numpy().reshape(-1, d)
+            cuts = np.flatnonzero((at[1:] != at[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)], strict=True):
+                if at[a] != part:
+                    part, held, index = at[a], [], None
+                names = ids.slice(a, b - a).to_pylist()
+                if kinds[a] == 0:
+                    held.append((names, flat[a:b].copy()))
+                    continue
+                if not held and index is None:  # no vector in the block
+                    continue
+                if index is None:
+                    index, held = built(), []
+                cols = list(zip(*best(flat[a:b], names), strict=True)) or [()] * 3
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (ids.type, ids.type, pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+
+    dealt = placed.union(asked).repartition("part").sortWithinPartitions("part", "kind", "vec_id")
+    found = dealt.mapInArrow(search, f"query_id {id_type}, vec_id {id_type}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
