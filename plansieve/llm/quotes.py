@@ -1,14 +1,20 @@
 """Quotation linking: reply-ordered conversations without quotes.
 
-A message's lines are parsed into quote levels (leading ``>`` signs) and normalised
-lines are hashed. Quoted lines are joined, within their conversation, to the first
-message that holds the line as its own. The message that most of the quoted text of
-the lowest level comes from (in letters; of equal ones the latest) is what the message
-replies to. Replies stand after what they reply to: the order is by the turn of the
-first message of the thread, the depth in it, and the turn.
-
-Positions are counted in two steps, over ranges of turns and then inside them, and
-depths are found by doubling links, so a conversation is never gathered in one task.
+A message's lines are parsed into quote levels (leading ``>`` signs). Consecutive lines of
+a level are a passage; it is normalised (lower case, single spaces, line ends ignored) and
+hashed as windows of ``WINDOW`` words, a shorter passage or line as a whole. What a message
+holds at a level is what a message that quotes it holds one level deeper, so passages of
+level n are joined, within their conversation, to messages that hold them at level n - 1.
+The quoted part as a whole, one level up, is one more hash, which only the whole text of a
+message has. Each hash votes for the latest earlier message that holds it, by its number
+of words (the whole with all its words, own words of the holder several times); the message with most votes is what is replied to (of
+equal ones the latest). Replies stand after what they reply to: the order is by the turn
+of the first message of the thread, the depth in it, and the turn.
+
+The latest holder before a turn is found in ranges of turns: the last one of each range,
+then inside the range. Positions are counted over ranges of the whole order, which cut
+long threads and conversations, and depths are found by doubling links, so a conversation
+is never gathered in one task.
 
 Defined cases: null text counts as empty; a message that quotes only itself or later
 messages, or nothing that is known, replies to none; a line that says who wrote what is
@@ -20,17 +26,24 @@ others but get no links; an empty table gives an empty result; other columns are
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_texts, cut, slices, small_batches
+from .common import as_texts, cut, slices, small_batches, store
+from .ngram_join import Words, shingles
 
 MARK = re.compile(r"^((?:[ \t]*>)+)[ \t]?")
 INTRO = re.compile(r"^\s*(?:on\b.{1,200}\bwrote|.{1,80}\bwrote)\s*:\s*$", re.IGNORECASE)
+#: Words of a window, and how often a message's own words count against those that it quoted itself.
+WINDOW, OWN = 6, 4
 
 
 def parse_line(line: str) -> tuple[int, str]:
@@ -39,86 +52,126 @@ def parse_line(line: str) -> tuple[int, str]:
     return (m[1].count(">"), line[m.end() :]) if m else (0, line)
 
 
-def normal(body: str) -> str:
-    """What is hashed: lower case, single spaces."""
-    return " ".join(body.lower().split())
+def parse_message(text: str) -> tuple[str, list[tuple[int, list[str]]], int]:
+    """A message's own text, its passages (level and normalised lines) in order, and its number of quoted lines. Empty lines belong to no passage and part none."""
+    lines = [parse_line(x) for x in text.split("\n")]
+    kept = [(level, body) for i, (level, body) in enumerate(lines) if level or not (INTRO.match(body) and any(x for x, _ in lines[i + 1 : i + 3]))]
+    clean = re.sub(r"\n{3,}", "\n\n", "\n".join(body for level, body in kept if not level)).strip("\n")
+    said = [(level, " ".join(body.lower().split())) for level, body in kept]
+    said = [x for x in said if x[1]]
+    return clean, [(level, [body for _, body in run]) for level, run in groupby(said, key=lambda x: x[0])], sum(level > 0 for level, _ in said)
 
 
-def parse_message(text: str) -> tuple[str, list[str], list[tuple[int, str]]]:
-    """A message's own text, its own normalised lines, and its quoted ones with their levels."""
-    lines = [parse_line(x) for x in text.split("\n")]
-    own, quoted = [], []
-    for i, (level, body) in enumerate(lines):
-        if level:
-            if normal(body):
-                quoted.append((level, normal(body)))
-        elif not (INTRO.match(body) and any(x for x, _ in lines[i + 1 : i + 3])):
-            own.append(body)
-    clean = re.sub(r"\n{3,}", "\n\n", "\n".join(own)).strip("\n")
-    return clean, sorted({normal(x) for x in own if normal(x)}), quoted
+def hashes_of(passages: list[tuple[int, list[str]]], words: Words) -> dict[tuple[int, int], int]:
+    """(level, hash) of a message's passages, with their number of words; the whole message stands at level -1, and its quoted part as a whole at level 0.
 
+    The whole is hashed with the levels of its words, so that only a message quoted as it stands has it.
+    """
+    out: dict[tuple[int, int], int] = {}
+    for level, lines in passages:
+        run = " ".join(lines)
+        parts = [run, *[x for x in lines if len(x.split()) < WINDOW]] if len(lines) > 1 else [run]
+        for part in parts:
+            for h in shingles(part.encode("utf-8", "surrogatepass"), WINDOW, words).astype(np.int64).tolist():
+                out[level, h] = min(WINDOW, len(part.split()))
+    for least in (0, 1):
+        whole = [f"{level - least}:{w}" for level, lines in passages if level >= least for x in lines for w in x.split()]
+        if whole:
+            h = shingles(" ".join(whole).encode("utf-8", "surrogatepass"), len(whole), words)
+            out[least - 1, int(h.astype(np.int64)[0])] = WINDOW * len(whole)
+    return out
 
-def parsed_messages(messages: DataFrame) -> DataFrame:
-    """The columns conv_id, turn, role, and clean text, hashes of own lines and of quoted ones (level, hash, letters)."""
-    from xxhash import xxh3_64_intdigest
 
+def parsed_messages(messages: DataFrame) -> DataFrame:
+    """The columns conv_id, turn, role, clean text, n_quoted, and hashes (level, hash, words) of passages that it holds."""
     small_batches(messages.sparkSession)
     ids = dict(messages.dtypes)
-    signed = lambda s: (h := xxh3_64_intdigest(s.encode("utf-8", "surrogatepass"))) - (1 << 64 if h >> 63 else 0)
+    kind = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64()), ("words", pa.int32())]))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
         for batch in slices(batches):
             found = [parse_message(t) for t in as_texts(batch.column(3))]
-            own = pa.array([[signed(x) for x in o] for _, o, _ in found], pa.list_(pa.int64()))
-            kind = pa.struct([("level", pa.int32()), ("hash", pa.int64()), ("letters", pa.int32())])
-            quoted = pa.array([[{"level": n, "hash": signed(x), "letters": len(x)} for n, x in q] for _, _, q in found], pa.list_(kind))
-            yield pa.record_batch([*(batch.column(i) for i in range(3)), pa.array([c for c, _, _ in found], pa.string()), own, quoted], ["conv_id", "turn", "role", "clean", "own", "quoted"])
+            held = [[{"level": a, "hash": h, "words": n} for (a, h), n in hashes_of(p, words).items()] for _, p, _ in found]
+            yield pa.record_batch([*(batch.column(i) for i in range(3)), pa.array([c for c, _, _ in found], pa.string()), pa.array([n for _, _, n in found], pa.int64()), pa.array(held, kind)], ["conv_id", "turn", "role", "clean", "n_quoted", "held"])
 
-    return messages.select("conv_id", "turn", "role", "text").mapInArrow(parse, f"conv_id {ids['conv_id']}, turn {ids['turn']}, role {ids['role']}, clean string, own array<bigint>, quoted array<struct<level:int,hash:bigint,letters:int>>")
+    return messages.select("conv_id", "turn", "role", "text").mapInArrow(parse, f"conv_id {ids['conv_id']}, turn {ids['turn']}, role {ids['role']}, clean string, n_quoted long, held array<struct<level:int,hash:bigint,words:int>>")
 
 
-def reply_links(parsed: DataFrame) -> DataFrame:
+def reply_links(parsed: DataFrame, stretch: int = 64) -> DataFrame:
     """conv_id, turn and parent (the turn replied to) of every message that replies to one."""
-    quoted = parsed.where(F.size("quoted") > 0).select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.*").distinct()
-    asked = quoted.select("conv_id", "hash").distinct()
-    own = parsed.select("conv_id", "turn", F.explode("own").alias("hash"))
-    origins = own.join(asked, ["conv_id", "hash"], "left_semi").groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
-    votes = quoted.join(origins, ["conv_id", "hash"]).where("origin < turn").groupBy("conv_id", "turn", "level", "origin").agg(F.sum("letters").alias("letters"))
-    best = F.max(F.struct((-F.col("level")).alias("level"), "letters", "origin"))
-    return votes.groupBy("conv_id", "turn").agg(best.alias("best")).select("conv_id", "turn", F.col("best.origin").alias("parent"))
-
-
-def threads(links: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """conv_id, turn, root and depth of every message in a link table, by doubling."""
+    known = parsed.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
+    quoting = known.where("n_quoted > 0").select("conv_id").distinct()
+    # a quoted passage asks for one level up; the quoted part as a whole (level 0) for a whole message (level -1)
+    items = known.join(quoting, "conv_id", "left_semi").select("conv_id", "turn", "n_quoted", F.explode("held").alias("h")).select("conv_id", "turn", "n_quoted", "h.*")
+    whole = F.col("words") > WINDOW
+    asked = items.where((F.col("n_quoted") > 0) & ((F.col("level") > 0) | ((F.col("level") == 0) & whole)))
+    asked = asked.select("conv_id", (F.col("level") - 1).alias("level"), "hash", "turn", "words").distinct()
+    holders = items.where((F.col("level") >= 0) & ~whole | (F.col("level") == -1)).select("conv_id", "level", "hash", "turn").distinct()
+    key = ["conv_id", "level", "hash"]
+    holders = holders.join(asked.select(*key).distinct(), key, "left_semi")
+    span = F.floor(F.col("turn") / stretch)
+    events = cut(holders.select(*key, "turn", F.col("turn").alias("own"), F.lit(None).cast("int").alias("words")).unionByName(asked.select(*key, "turn", F.lit(None).cast(dict(parsed.dtypes)["turn"]).alias("own"), "words")).withColumn("span", span))
+    here = Window.partitionBy(*key, "span").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*key).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = events.groupBy(*key, "span").agg(F.max("own").alias("last")).select(*key, "span", F.max("last").over(before).alias("earlier"))
+    near = events.withColumn("near", F.max("own").over(here)).where("words is not null")
+    votes = near.join(spans, [*key, "span"]).withColumn("origin", F.coalesce("near", "earlier")).where("origin is not null")
+    counted = votes.groupBy("conv_id", "turn", "origin").agg(F.sum(F.when(F.col("level") == 0, OWN * F.col("words")).otherwise(F.col("words"))).alias("words"))
+    return counted.groupBy("conv_id", "turn").agg(F.max(F.struct("words", "origin")).alias("best")).select("conv_id", "turn", F.col("best.origin").alias("parent"))
+
+
+def threads(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """conv_id, turn, root and depth of every message in a link table, by doubling; more than ``most_rounds`` rounds (2**60 replies in a row) are an error."""
     at = cut(links.select("conv_id", "turn", F.col("parent").alias("root"), F.lit(1).alias("depth")))
     for _ in range(most_rounds):
         up = at.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
         step = at.join(up, ["conv_id", "root"], "left")
         at = cut(step.select("conv_id", "turn", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")))
-        moved = at.where("moved").limit(1).count()
+        if at.where("moved").isEmpty():
+            return at.drop("moved")
         at = at.drop("moved")
-        if not moved:
-            break
-    return at
+    raise RuntimeError(f"threads are not settled after {most_rounds} rounds")
 
 
-def link_quotations(messages: DataFrame, stretch: int = 64) -> DataFrame:
-    """A row per message: conv_id, turn, role, parent_turn, root_turn, depth, position in its conversation, n_quoted and clean text.
+def positions(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Adds ``position``, from 0 in each conv_id, in this order; rows that agree in all of it are alike.
 
-    ``stretch`` turns of roots are counted together.
+    Ranges of the whole order are counted, so the largest conversation is in many of them.
     """
-    parsed = cut(parsed_messages(messages))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), Counter()
+        for batch in batches:
+            here = []
+            for conv in batch.column(0).to_pylist():
+                if conv not in seen:
+                    seen.clear()
+                here.append(seen[conv])
+                seen[conv] += 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(here), pa.int32()), pa.array(here, pa.int64())], [*batch.schema.names, "part", "here"])
+
+    names = ["conv_id", *[c for c in rows.columns if c != "conv_id"]]
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(*names).dtypes)
+    ranged = rows.select(*names).withColumn("tie", F.monotonically_increasing_id()).repartitionByRange("conv_id", *order, "tie").sortWithinPartitions("conv_id", *order, "tie").drop("tie")
+    placed = store(ranged.mapInArrow(number, f"{schema}, part int, here long"), "placed")
+    before = Window.partitionBy("c_conv").orderBy("c_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(F.col("part").alias("c_part"), F.col("conv_id").alias("c_conv")).agg(F.count("*").alias("n"))
+    carried = cut(counts.withColumn("before", F.sum("n").over(before)).where("before is not null").select("c_part", "c_conv", "before"))  # at most a row for each range
+    same = (F.col("part") == F.col("c_part")) & F.col("conv_id").eqNullSafe(F.col("c_conv"))
+    return placed.join(carried, same, "left").withColumn("position", F.col("here") + F.coalesce("before", F.lit(0))).drop("part", "here", "c_part", "c_conv", "before")
+
+
+def link_quotations(messages: DataFrame) -> DataFrame:
+    """A row per message: conv_id, turn, role, parent_turn, root_turn, depth, position in its conversation, n_quoted and clean text."""
+    parsed = store(parsed_messages(messages), "parsed")
     links = cut(reply_links(parsed))
     placed = threads(links)
-    known = links.join(placed, ["conv_id", "turn"]).select(F.col("conv_id").alias("k_conv"), F.col("turn").alias("k_turn"), "parent", "root", "depth")
+    known = cut(links.join(placed, ["conv_id", "turn"]).select(F.col("conv_id").alias("k_conv"), F.col("turn").alias("k_turn"), "parent", "root", "depth"))
     rows = (
-        parsed.join(known, (F.col("conv_id") == F.col("k_conv")) & (F.col("turn") == F.col("k_turn")), "left")
-        .withColumn("root_turn", F.coalesce("root", "turn"))
-        .withColumn("level", F.coalesce("depth", F.lit(0)))
-        .withColumn("range", F.floor(F.col("root_turn") / stretch))
+        parsed.drop("held")
+        .join(known, (F.col("conv_id") == F.col("k_conv")) & (F.col("turn") == F.col("k_turn")), "left")
+        .select("conv_id", "turn", "role", F.col("parent").alias("parent_turn"), F.coalesce("root", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).alias("depth"), "n_quoted", "clean")
     )
-    before = Window.partitionBy("c_conv").orderBy("c_range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(F.col("conv_id").alias("c_conv"), F.col("range").alias("c_range")).agg(F.count("*").alias("n")).select("c_conv", "c_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    here = Window.partitionBy("conv_id", "range").orderBy("root_turn", "level", "turn", "role", "clean")
-    numbered = rows.withColumn("here", F.row_number().over(here) - 1).join(counts, F.col("conv_id").eqNullSafe(F.col("c_conv")) & F.col("range").eqNullSafe(F.col("c_range")))
-    return numbered.select("conv_id", "turn", "role", F.col("parent").alias("parent_turn"), "root_turn", F.col("level").alias("depth"), (F.col("here") + F.col("before")).cast("long").alias("position"), F.size("quoted").cast("long").alias("n_quoted"), "clean")
+    placed = positions(rows, ["root_turn", "depth", "turn", "role", "clean"])
+    return placed.select("conv_id", "turn", "role", "parent_turn", "root_turn", "depth", F.col("position").cast("long").alias("position"), "n_quoted", "clean")

@@ -152,3 +152,69 @@ def test_quotations(spark, nothing):
     assert rows[1, 3]["depth"] == 2 and rows[1, 1]["clean"] == "Fine." and rows[2, 1]["parent_turn"] is None and rows[None, None]["n_quoted"] == 1
     assert quotes.link_quotations(df.limit(0)).count() == 0
     assert quotes.parse_line("> > a") == (2, "a") and quotes.parse_line(">") == (1, "") and quotes.parse_line("a > b") == (0, "a > b")
+
+
+def brute_links(messages):
+    """Reply links of one conversation (turn, text) by walking back from each quoting message."""
+    words, held, links = quotes.Words(), {}, {}
+    for turn, text in messages:
+        held[turn] = quotes.hashes_of(quotes.parse_message(text)[1], words)
+    for turn, mine in held.items():
+        votes = {}
+        for (level, h), n in mine.items():
+            if level > 0 or (level == 0 and n > quotes.WINDOW):
+                for earlier in range(turn - 1, -1, -1):
+                    theirs = held.get(earlier, {})
+                    if (level - 1, h) in theirs and (theirs[level - 1, h] <= quotes.WINDOW or level == 0):
+                        votes[earlier] = votes.get(earlier, 0) + n * (quotes.OWN if level == 1 else 1)
+                        break
+        if votes:
+            links[turn] = max((n, o) for o, n in votes.items())[1]
+    return links
+
+
+def test_quotations_against_walking_back(spark):
+    """Generated conversations: nested quotes, wrapped anew, in part or whole, with lines that many messages have."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(500)]
+    rows, truth = [], {}
+
+    def wrapped(text, width):
+        w = text.split()
+        return [" ".join(w[i : i + width]) for i in range(0, len(w), width)]
+
+    for conv in range(12):
+        bodies = []
+        for turn in range(200 if conv == 0 else 25):
+            own = wrapped(" ".join(rng.choice(vocabulary) for _ in range(rng.randint(8, 40))), 9) + (["Thanks"] if rng.random() < 0.4 else [])
+            parent = rng.randrange(turn) if turn and rng.random() < 0.8 else None
+            quoted = []
+            if parent is not None:
+                for level, lines in bodies[parent]:
+                    if level < 2 and (level == 0 or rng.random() < 0.7):
+                        again = wrapped(" ".join(lines), rng.choice([5, 12])) if rng.random() < 0.5 and "Thanks" not in lines else lines
+                        quoted.append((level + 1, again))
+            bodies.append([*quoted, (0, own)])
+            text = "\n".join([*(["On Monday, A wrote:"] if quoted else []), *["> " * level + x for level, lines in bodies[-1] for x in lines]])
+            rows.append((conv, turn, "user", text))
+            truth[conv, turn] = parent
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)).collect()}
+    for conv in range(12):
+        want = brute_links([(t, x) for c, t, _, x in rows if c == conv])
+        assert {t: r["parent_turn"] for (c, t), r in got.items() if c == conv and r["parent_turn"] is not None} == want
+        depth = {}
+        for t in sorted(t for c, t in got if c == conv):
+            depth[t] = (depth[want[t]][0] + 1, depth[want[t]][1]) if t in want else (0, t)
+            assert (got[conv, t]["depth"], got[conv, t]["root_turn"]) == depth[t]
+        order = sorted(depth, key=lambda t: (depth[t][1], depth[t][0], t))
+        assert [got[conv, t]["position"] for t in order] == list(range(len(order)))
+    assert sum(got[k]["parent_turn"] == p for k, p in truth.items()) >= 0.97 * len(truth)
+    assert all(">" not in r["clean"] and "wrote" not in r["clean"] for r in got.values())
+
+
+def test_quotations_of_many_alike(spark):
+    """A very long thread, and very many messages alike, are cut into ranges."""
+    rows = [(1, i, "user", f"> step {i - 1}\nstep {i}") for i in range(300)] + [(None, None, "user", "x")] * 300
+    got = quotes.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)).collect()
+    assert [(r["turn"], r["depth"], r["parent_turn"]) for r in sorted((r for r in got if r["conv_id"] == 1), key=lambda r: r["position"])] == [(i, i, i - 1 if i else None) for i in range(300)]
+    assert sorted(r["position"] for r in got if r["conv_id"] is None) == list(range(300))
