@@ -3,20 +3,29 @@
 A document's row of the matrix is its set of hashed word n-grams. Equal rows are one
 class from the start. Columns are ordered from rare to frequent by a count sketch of
 fixed size, ties by hash; two rows that reach the threshold must meet in the first
-``n - ceil(t*n) + 1`` columns of each, so only these entries enter the product. Each
-column is multiplied with itself (frequent ones in blocks of rows), pairs of rows whose
-lengths or places in the order bound the overlap below what the threshold needs are
-dropped, and so are pairs whose parity signatures differ in more places than the
-symmetric difference may have members. Overlap counts are not accumulated in the
-product: it gives candidates only, and these are checked on whole sets. The
-links become components by label propagation along hashed minima.
-
-``join_similar`` forms all pairs, so that links can be counted; a dense group of near
-copies costs its pairs there. Where only components are asked for (``one_of_each``), the
-product runs twice instead: first a row is paired with only the first of its partners in
-each column, and rows found to link are one component from then on; then with all of
-its partners in other components. Every link between components is found that way, and
-the components are the same.
+``n - ceil(t*n) + 1`` columns of each, so only these entries are looked at to find out
+which rows have to be multiplied with each other:
+
+1. Regions. Within a column rows gather around leaders: the distance is the number of
+   places in which two parity signatures differ, which is never more than the symmetric
+   difference has members. A row near a leader (as near as a linked row must be) is
+   covered by it, and every row as near as a row linked with a covered one can be, by the
+   triangle inequality, joins the leader's region. So linked rows are always in one
+   region, and a column gives a forest of fewer edges than it has rows. A column of very
+   many rows is dealt into blocks, whose leaders then meet. The signatures of 512 bits that
+   go with the entries say little about long rows, so the regions are gathered once more
+   by themselves, with signatures of two bits and more for each member.
+2. Product. The rows of a region are multiplied block by block: overlaps are accumulated
+   for every pair, and pairs below the overlap that their sizes ask for are discarded. What
+   leaves a block is a row for each of its rows: the number of its links and a row it is
+   connected with.
+
+Neither step emits pairs, so what moves is in proportion to the entries, and for a region
+of m rows to m times its number of blocks. Regions and links become components by label
+propagation along minima.
+
+Sets are told apart by two 64-bit digests; if equal first digests ever had different second
+ones, the scan is repeated with other digests. N-grams are 64-bit hashes.
 
 Defined cases: null text and text without words has 0 n-grams and links with nothing;
 fewer than ``width`` words are one n-gram; rows with equal ids are copies of a document
@@ -40,8 +49,10 @@ from .common import as_bytes, cut, discard, mix64, slices, small_batches, store
 
 #: The sketch that orders columns has about COUNTERS counters a row of the matrix, within these powers of two; CHUNK of them travel together.
 COUNTERS, LEAST_BITS, MOST_BITS, CHUNK = 16, 16, 24, 1 << 14
-#: Bits of a parity signature.
-SIGNATURE = 512
+#: Bits of a parity signature that goes with entries, and most bits of one of a row.
+SIGNATURE, WIDEST = 512, 1 << 17
+#: The most rows of a column that are gathered at once, and of a region in a block of the product.
+BLOCKS = (4096, 2048)
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -76,15 +87,56 @@ def needed(n: int, threshold: tuple[int, int]) -> int:
     return -(-n * threshold[0] // threshold[1])
 
 
-def fingerprint(s: np.ndarray) -> int:
-    """An order-free 64-bit digest of a set, as a signed integer."""
-    return int(mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64))
-
-
-def signature(s: np.ndarray) -> bytes:
-    """For each of SIGNATURE slots whether an odd number of members falls into it."""
-    odd = np.bincount((s & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=SIGNATURE) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+def fingerprint(s: np.ndarray, seed: int = 0) -> int:
+    """An order-free 64-bit digest of a set, as a signed integer; seeds give independent ones."""
+    with np.errstate(over="ignore"):
+        return int(mix64(s ^ mix64(np.array([seed + 1], np.uint64))[0]).sum(dtype=np.uint64).astype(np.int64))
+
+
+def signature(s: np.ndarray) -> np.ndarray:
+    """For each of at least two slots a member, a power of two, whether an odd number of members falls into it; packed."""
+    slots = min(WIDEST, max(SIGNATURE, 1 << (2 * len(s) - 1).bit_length())) if len(s) else SIGNATURE
+    odd = np.bincount((s & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+def folded(sig: np.ndarray, size: int) -> np.ndarray:
+    """A signature (or a row of them for each) with fewer slots, of ``size`` bytes."""
+    while sig.shape[-1] > size:
+        half = sig.shape[-1] // 2
+        sig = sig[..., :half] ^ sig[..., half:]
+    return sig
+
+
+class Signatures:
+    """Packed signatures of several sizes, each also folded to all smaller sizes."""
+
+    def __init__(self, raw: list[bytes]):
+        size = np.array([len(x) for x in raw], np.int64)
+        self.level = np.log2(np.maximum(size, 1) * 8 // SIGNATURE).astype(np.int64)
+        self.matrix, self.at = {}, {}
+        longer: np.ndarray | None = None
+        for level in range(int(self.level.max(initial=0)), -1, -1):
+            own = np.flatnonzero(self.level == level)
+            rows = np.frombuffer(b"".join([raw[i] for i in own.tolist()]), np.uint8).reshape(len(own), -1) if len(own) else np.zeros((0, SIGNATURE // 8 << level), np.uint8)
+            if longer is not None:
+                rows = np.concatenate([rows, folded(self.matrix[level + 1].view(np.uint8), rows.shape[1])])
+                own = np.concatenate([own, longer])
+            longer = own
+            self.matrix[level] = np.ascontiguousarray(rows).view(np.uint64)
+            self.at[level] = np.zeros(len(raw), np.int64)
+            self.at[level][own] = np.arange(len(own))
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """In how many places the signatures of rows a and b differ, in the smaller size of the two."""
+        level = np.minimum(self.level[a], self.level[b])
+        out = np.empty(len(a), np.int64)
+        for k in np.unique(level).tolist():
+            here, matrix, at = np.flatnonzero(level == k), self.matrix[k], self.at[k]
+            step = max(1, (1 << 22) // matrix.shape[1])
+            for part in (here[i : i + step] for i in range(0, len(here), step)):
+                out[part] = np.bitwise_count(matrix[at[a[part]]] ^ matrix[at[b[part]]]).sum(1, dtype=np.int64)
+        return out
 
 
 def sketch_bits(n: int) -> int:
@@ -92,10 +144,10 @@ def sketch_bits(n: int) -> int:
     return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, n * COUNTERS)))))
 
 
-def rows_of(docs: DataFrame, width: int, bits: int, id_col: str, text_col: str) -> DataFrame:
-    """Scan 1: text key, n, fingerprint and signature of each document, and a sketch of the column counts per task; stored."""
+def rows_of(docs: DataFrame, width: int, bits: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """Scan 1: text key, n, both digests and signature of each document, and a sketch of the column counts per task; stored."""
     id_type = dict(docs.dtypes)[id_col]
-    names = ["doc_id", "key", "n", "fp", "sig", "chunk", "counts"]
+    names = ["doc_id", "key", "n", "fp", "check", "sig", "wide", "chunk", "counts"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, sketch, id_kind = Words(), np.zeros(1 << bits, np.uint16), None
@@ -104,14 +156,15 @@ def rows_of(docs: DataFrame, width: int, bits: int, id_col: str, text_col: str)
             sets = [shingles(t, width, words) for t in as_bytes(batch.column(1))]
             at, n = np.unique((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
             sketch[at] += np.minimum(n, 65535 - sketch[at]).astype(np.uint16)  # stops at the largest value
-            none = pa.nulls(len(sets))
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names)
+            numbers = ([len(s) for s in sets], [fingerprint(s, seed) for s in sets], [fingerprint(s, ~seed & 0xFFFF) for s in sets])
+            none, wide = pa.nulls(len(sets)), [signature(s) for s in sets]
+            yield pa.record_batch([batch.column(0), batch.column(2), *[pa.array(x, pa.int64()) for x in numbers], pa.array([folded(x, SIGNATURE // 8).tobytes() for x in wide], pa.binary()), pa.array([x.tobytes() for x in wide], pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names)
         if id_kind is not None:
             chunks = [(i, c) for i, c in enumerate(sketch.reshape(-1, CHUNK)) if c.any()]
             none = pa.nulls(len(chunks))
-            yield pa.record_batch([pa.nulls(len(chunks), id_kind), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array([i for i, _ in chunks], pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for _, c in chunks], pa.binary())], names)
+            yield pa.record_batch([pa.nulls(len(chunks), id_kind), *[none.cast(pa.int64())] * 4, *[none.cast(pa.binary())] * 2, pa.array([i for i, _ in chunks], pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for _, c in chunks], pa.binary())], names)
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_col, F.xxhash64(text_col).alias("key")).mapInArrow(scan, f"doc_id {id_type}, key long, n long, fp long, sig binary, chunk int, counts binary")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_col, F.xxhash64(text_col).alias("key")).mapInArrow(scan, f"doc_id {id_type}, key long, n long, fp long, check long, sig binary, wide binary, chunk int, counts binary")
     return store(rows, "rows")
 
 
@@ -135,8 +188,8 @@ def column_order(rows: DataFrame, bits: int) -> np.ndarray:
     return order
 
 
-def prefix_entries(docs: DataFrame, order: np.ndarray, width: int, threshold: tuple[int, int], text_col: str) -> DataFrame:
-    """Scan 2: the entries of each row's first columns: column, row, row length, place."""
+def prefix_entries(docs: DataFrame, order: np.ndarray, width: int, threshold: tuple[int, int], seed: int, text_col: str) -> DataFrame:
+    """Scan 2: the entries of each row's first columns: column, row, row length."""
     held, shift = docs.sparkSession.sparkContext.broadcast(order), 65 - len(order).bit_length()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +200,7 @@ def prefix_entries(docs: DataFrame, order: np.ndarray, width: int, threshold: tu
                 s = shingles(text, width, words)
                 if not len(s):
                     continue
-                fp = fingerprint(s)
+                fp = fingerprint(s, seed)
                 if fp in seen:  # a copy in the same task adds nothing
                     continue
                 if len(seen) > 500_000:
@@ -165,204 +218,354 @@ def prefix_entries(docs: DataFrame, order: np.ndarray, width: int, threshold: tu
                 out.append((s[first].astype(np.int64), fp, n))
             if out:
                 sizes = [len(h) for h, _, _ in out]
-                cols = [np.concatenate([h for h, _, _ in out]), np.repeat([f for _, f, _ in out], sizes), np.repeat([n for _, _, n in out], sizes), np.concatenate([np.arange(k) for k in sizes])]
-                yield pa.record_batch([pa.array(c.astype(t)) for c, t in zip(cols, (np.int64, np.int64, np.int32, np.int32), strict=True)], ["h", "fp", "n", "pos"])
+                cols = [np.concatenate([h for h, _, _ in out]), np.repeat([f for _, f, _ in out], sizes), np.repeat([n for _, _, n in out], sizes)]
+                yield pa.record_batch([pa.array(c.astype(t)) for c, t in zip(cols, (np.int64, np.int64, np.int32), strict=True)], ["h", "fp", "n"])
 
-    return docs.select(text_col).mapInArrow(scan, "h long, fp long, n int, pos int")
+    return docs.select(text_col).mapInArrow(scan, "h long, fp long, n int")
 
 
 def shared_entries(entries: DataFrame) -> DataFrame:
     """The entries of columns that hold different rows, with the number of entries of the column; stored."""
     shared = entries.groupBy(F.col("h").alias("c_h")).agg(F.count("*").alias("c_n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("c_h", "c_n")
-    return store(entries.join(shared, F.col("h") == F.col("c_h")).select("h", "c_n", "fp", "n", "pos"), "shared")
+    return store(entries.join(shared, F.col("h") == F.col("c_h")).select("h", "c_n", "fp", "n"), "shared")
+
+
+class Forest:
+    """Edges that connect what wasn't connected before; forgets at ``most`` nodes, which only lets more edges through."""
+
+    def __init__(self, most: int = 500_000):
+        self.parent, self.most = {}, most
 
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(up, up)
+        return x
 
-def candidate_pairs(entries: DataFrame, classes: DataFrame, threshold: tuple[int, int], labels: DataFrame | None = None, first_only: bool = False, block: int = 256) -> DataFrame:
-    """The product: pairs (a, b) of rows that share a column and that no bound excludes; distinct.
+    def joins(self, a: int, b: int) -> bool:
+        if len(self.parent) > self.most:
+            self.parent.clear()
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+        return a != b
 
-    With ``first_only``, each row of a column is paired with the first of its partners
-    only, and a row that has partners but no pair comes out as (a, a). With ``labels``
-    (node, component) of all rows that have partners, these are paired with all of their
-    partners in other components.
 
-    A column of more than ``block`` rows is cut into blocks of rows, and each pair of
-    blocks is a task's work of its own.
+def gather(group: np.ndarray, n: np.ndarray, fp: np.ndarray, sig: Signatures, threshold: tuple[int, int], spread: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Edges that connect the regions of each group, and a mask of the leaders.
+
+    Rows are sorted by group and n. ``spread``: how many links away from a row may be
+    that it stands for (0 for rows themselves, 1 for leaders of blocks).
     """
     up, down = threshold
-    signed = classes.select(F.col("fp").alias("s_fp"), "sig")
-    if labels is None:
-        rows = entries.withColumn("label", F.col("fp"))
-    else:
-        rows = entries.join(labels.select(F.col("node").alias("l_fp"), F.col("component").alias("label")), F.col("fp") == F.col("l_fp"))
+    t, rho, far = up / down, (down - up) / (down + up), 2 * spread + 2
+    number = np.cumsum(np.append(0, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
+    left, leads = np.ones(len(n), bool), np.zeros(len(n), bool)
+    label, to, active = np.arange(len(n)), np.arange(len(n)), np.arange(len(n))
+    edges: list[tuple[int, int]] = []
+    lead = np.full(int(number[-1]) + 1 if len(n) else 0, -1)
+    while len(active):
+        free = active[left[active]]
+        first = free[np.append(True, number[free[1:]] != number[free[:-1]])] if len(free) else free
+        lead[:] = -1
+        lead[number[first]] = first
+        leads[first] = True
+        active = active[lead[number[active]] >= 0]
+        at = lead[number[active]]
+        apart = sig.apart(active, at)
+        long, short = np.maximum(n[active], n[at]), np.minimum(n[active], n[at])
+        covered = (apart <= rho * (long + short) + 1e-9) & (short >= t * long - 1e-9)
+        left[active[covered | (active == at)]] = False
+        joins = (apart <= 2 * far * rho * long / t ** (far // 2) + 1e-9) & (short >= t**far * long - 1e-9) & (label[active] != label[at])
+        rows, leaders = active[joins], at[joins]
+        old, which = np.unique(label[rows], return_index=True)
+        if len(old):
+            edges += zip(fp[rows[which]].tolist(), fp[leaders[which]].tolist(), strict=True)
+            to[old] = label[leaders[which]]
+            label[active] = to[label[active]]
+            to[old] = old
+    return edges, leads
+
+
+def region_edges(entries: DataFrame, signed: DataFrame, threshold: tuple[int, int], block: int) -> DataFrame:
+    """Edges (a, b) between rows (entries: h, c_n, fp, n) so that linked rows that share an h are connected; stored.
+
+    signed: fp and signature of each row. A group h of more than ``block`` rows is dealt
+    into blocks by hash. Their leaders meet afterwards, in pairs of blocks if they are
+    more than a block again.
+    """
+    blocks = F.ceil(F.col("c_n") / block).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    rows = (
-        rows.join(signed, F.col("fp") == F.col("s_fp"))
-        .withColumn("blocks", F.ceil(F.col("c_n") / block).cast("int"))
+    signed = signed.toDF("s_fp", "sig")
+    rows = entries.join(signed, F.col("fp") == F.col("s_fp")).withColumn("blocks", blocks).withColumn("i", own).select("h", "i", F.col("i").alias("j"), F.col("blocks"), F.col("n").cast("long").alias("n"), "fp", "sig")
+
+    def found(rows: DataFrame, spread: int) -> DataFrame:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forest, held, size = Forest(), [], 0
+
+            def done(cols: list[np.ndarray]) -> pa.RecordBatch:
+                h, i, j, blocks, n, fp, raw = cols
+                new = np.append(True, (h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+                edges, leads = gather(np.cumsum(new), n, fp, Signatures(raw), threshold, spread)
+                edges = [e for e in edges if forest.joins(*e)]
+                up = np.flatnonzero(leads & (blocks > 1)) if not spread else np.zeros(0, np.int64)
+                none, last = [None] * len(up), [None] * len(edges)
+                return pa.record_batch(
+                    [
+                        pa.array([*[a for a, _ in edges], *fp[up].tolist()], pa.int64()),
+                        pa.array([*[b for _, b in edges], *none], pa.int64()),
+                        pa.array([*last, *h[up].tolist()], pa.int64()),
+                        pa.array([*last, *n[up].tolist()], pa.int64()),
+                        pa.array([*last, *[raw[x] for x in up.tolist()]], pa.binary()),
+                    ],
+                    ["a", "b", "h", "n", "sig"],
+                )
+
+            def flat(held: list[pa.RecordBatch]) -> list:
+                table = pa.Table.from_batches(held)
+                return [*[table.column(k).to_numpy() for k in range(6)], table.column(6).to_pylist()]
+
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                held.append(batch)
+                size += batch.nbytes
+                if size >= 1 << 22:
+                    table = pa.Table.from_batches(held).combine_chunks()
+                    h, i, j = (table.column(k).to_numpy() for k in range(3))
+                    whole = int(np.flatnonzero((h != h[-1]) | (i != i[-1]) | (j != j[-1]))[-1:].sum() + 1) if ((h[0], i[0], j[0]) != (h[-1], i[-1], j[-1])) else 0
+                    if whole:
+                        yield done(flat(table.slice(0, whole).to_batches()))
+                    held = table.slice(whole).to_batches()
+                    size = table.nbytes * (table.num_rows - whole) // table.num_rows
+            if held:
+                yield done(flat(held))
+
+        dealt = rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "fp")
+        return store(dealt.mapInArrow(work, "a long, b long, h long, n long, sig binary"), "regions")
+
+    first = found(rows, 0)
+    edges, leaders = first.where("b is not null").select("a", "b"), first.where("b is null")
+    if leaders.isEmpty():
+        return edges
+    counted = leaders.join(leaders.groupBy(F.col("h").alias("c_h")).agg(F.count("*").alias("c_n")), F.col("h") == F.col("c_h"))
+    met = (
+        counted.withColumn("fp", F.col("a"))
+        .withColumn("blocks", blocks)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "n", "pos", "fp", "label", "sig")
-        .repartition("h", "i", "j")
-        .sortWithinPartitions("h", "i", "j", "n", "fp")
+        .select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "blocks", "n", "fp", "sig")
     )
+    return edges.union(found(met, 1).select("a", "b"))
 
-    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        sent: set[tuple[int, int]] = set()
-
-        def pairs(cols: list[np.ndarray]) -> pa.RecordBatch:
-            h, i, j, own, n, pos, fp, label, sig = cols
-            new = np.flatnonzero((h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            ends = np.repeat(np.append(new, len(h)), np.diff(np.concatenate([[0], new, [len(h)]])))
-            live, step, found = np.arange(len(h)), 1, []
-            partner, alone = np.full(len(h), -1), np.zeros(len(h), bool)
-            while len(live):
-                live = live[live + step < ends[live]]
-                live = live[down * n[live] >= up * n[live + step]]  # longer rows follow, so the rest of the column is out too
-                a, b = live, live + step
-                most = np.minimum(n[a] - pos[a], n[b] - pos[b])
-                keep = ((up + down) * most >= up * (n[a] + n[b])) & (fp[a] != fp[b]) & (first_only | (label[a] != label[b])) & ((own[a] != own[b]) | (i[a] == j[a]))
-                a, b = a[keep], b[keep]
-                apart = np.bitwise_count(sig[a] ^ sig[b]).sum(1, dtype=np.int64)
-                keep = (up + down) * apart <= (down - up) * (n[a] + n[b])
-                a, b = a[keep], b[keep]
-                if first_only:
-                    partner[b] = a  # later steps come from further ahead
-                    alone[a] = True
-                else:
-                    found.append((a, b))
-                step += 1
-            if first_only:
-                b = np.flatnonzero(partner >= 0)
-                alone[partner[b]] = alone[b] = False
-                found = [(partner[b], b), (np.flatnonzero(alone), np.flatnonzero(alone))]
-            if len(sent) > 500_000:
-                sent.clear()
-            ends = [np.stack([np.minimum(fp[a], fp[b]), np.maximum(fp[a], fp[b])], 1) for a, b in found]
-            fresh = sorted(set(map(tuple, np.concatenate(ends).tolist())).difference(sent)) if ends else []
-            sent.update(fresh)
-            return pa.record_batch([pa.array([x for x, _ in fresh], pa.int64()), pa.array([y for _, y in fresh], pa.int64())], ["a", "b"])
 
+def bit_filter(wanted: DataFrame, bits: int) -> np.ndarray:
+    """2**bits bits, with those of the hashed ids of ``wanted`` set."""
+    chunk = 1 << min(bits, 20)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            cols = [batch.column(k).to_numpy() for k in range(3)] + [batch.column(k).to_numpy().astype(np.int64) for k in range(3, 8)]
-            cols.append(np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint64).reshape(-1, SIGNATURE // 64))
-            if held is not None:
-                cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
-            h, i, j = cols[:3]
-            whole = len(h) and int(np.flatnonzero((h != h[-1]) | (i != i[-1]) | (j != j[-1]))[-1:].sum() + 1) if len(h) and ((h[0], i[0], j[0]) != (h[-1], i[-1], j[-1])) else 0
-            held = [c[whole:] for c in cols]
-            if whole:
-                yield pairs([c[:whole] for c in cols])
-        if held is not None and len(held[0]):
-            yield pairs(held)
-
-    return rows.mapInArrow(product, "a long, b long").distinct()
-
-
-def whole_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str, filter_words: int = 1 << 17) -> DataFrame:
-    """Scan 3: fp and set of the documents with ids in ``wanted`` (doc_id, fp); stored.
-
-    A bit filter of fixed size over the wanted ids spares most other documents; what
-    it lets through in error is joined away.
+            at = batch.column(1).to_numpy()
+            for c in np.unique(at // chunk).tolist():
+                total.setdefault(c, np.zeros(chunk, bool))[at[at // chunk == c] % chunk] = True
+        yield pa.record_batch([pa.array(list(total), pa.int64()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in total.values()], pa.binary())], ["chunk", "bits"])
+
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
+    parts = wanted.select(F.floor(place / chunk).cast("long").alias("chunk"), place.alias("place")).repartition("chunk").mapInArrow(fill, "chunk long, bits binary")
+    out = np.zeros(1 << bits - 3, np.uint8)
+    for r in parts.collect():  # 2**(bits - 3) bytes in all
+        out[r["chunk"] * chunk // 8 : (r["chunk"] + 1) * chunk // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def whole_sets(docs: DataFrame, wanted: DataFrame, width: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """Scan 3: fp and set of the documents with ids in ``wanted`` (doc_id, fp), once and more for each fp, and of some others.
+
+    A bit filter over the wanted ids, of 16 bits for each and 16 MB at most, spares most
+    other documents; what it lets through in error is joined away.
     """
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(filter_words * 64))
-    bits = np.zeros(filter_words, np.int64)
-    cells = wanted.select(F.floor(bit / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
-    for r in cells.collect():  # at most filter_words rows
-        bits[r["word"]] = r["mask"]
-    held = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+    bits = min(27, max(16, math.ceil(math.log2(16 * max(1, wanted.count())))))
+    held = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted, bits))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, mask = Words(), held.value
+        words, mask, seen = Words(), held.value, set()
         for batch in slices(batches, 256):
             at = batch.column(0).to_numpy()
-            hit = mask[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
+            hit = mask[at >> 3] >> (at & 7).astype(np.uint8) & 1
             chosen = batch.filter(pa.array(hit == 1))
-            sets = [shingles(t, width, words) for t in as_bytes(chosen.column(1))]
-            yield pa.record_batch([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["fp", "members"])
+            sets = {fingerprint(s, seed): s for t in as_bytes(chosen.column(1)) if len(s := shingles(t, width, words))}
+            new = [fp for fp in sets if fp not in seen]
+            if len(seen) > 500_000:
+                seen.clear()
+            seen.update(new)
+            yield pa.record_batch([pa.array(new, pa.int64()), pa.array([sets[fp].tobytes() for fp in new], pa.binary())], ["fp", "members"])
 
-    placed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select(bit.alias("bit"), "text")
-    sets = placed.mapInArrow(scan, "fp long, members binary")
-    return store(sets.join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "sets")
+    placed = docs.select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << bits)).alias("bit"), F.col(text_col).alias("text"))
+    return placed.mapInArrow(scan, "fp long, members binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs whose sets reach the threshold."""
+def overlaps(sets: list[np.ndarray], dense: int = 32, columns: int = 1024) -> np.ndarray:
+    """The product of the incidence matrix of the sets with its transpose, without the diagonal.
+
+    Columns of up to ``dense`` rows are added pair by pair, fuller ones as dense slabs.
+    """
+    m = len(sets)
+    row = np.repeat(np.arange(m), [len(s) for s in sets])
+    _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = held[column] > 1
+    row, column = row[keep], column[keep]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros(m * m, np.int64)
+    thin = held[column] <= dense
+    r, c = row[thin], column[thin]
+    live, step = np.arange(len(r)), 1
+    while len(live):
+        live = live[live + step < len(r)]
+        live = live[c[live] == c[live + step]]
+        if len(live):
+            both += np.bincount(r[live] * m + r[live + step], minlength=m * m)
+        step += 1
+    both = both.reshape(m, m)
+    both += both.T
+    r, c = row[~thin], column[~thin]
+    if len(r):
+        full = np.zeros((m, m), np.float32)  # counts stay far below 2**24
+        number = np.cumsum(np.append(0, c[1:] != c[:-1]))
+        cuts = np.searchsorted(number, np.arange(0, number[-1] + columns + 1, columns))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            slab = np.zeros((m, columns), np.float32)
+            slab[r[a:b], number[a:b] % columns] = 1
+            full += slab @ slab.T
+        both += np.rint(full).astype(np.int64)
+    np.fill_diagonal(both, 0)
+    return both
+
+
+def block_links(sets: list[np.ndarray], own: np.ndarray, copies: np.ndarray, threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of a block the copies of rows it links with, and the first row it is connected with. Rows of one block only, or links between two."""
     up, down = threshold
+    n = np.array([len(s) for s in sets])
+    both = overlaps(sets)
+    links = (both > 0) & (down * both >= up * (n[:, None] + n[None, :] - both))
+    if own.min() != own.max():
+        links &= own[:, None] != own[None, :]
+    first, before = np.arange(len(n)), None
+    a, b = np.nonzero(links)
+    while before is None or (first != before).any():
+        before = first.copy()
+        np.minimum.at(first, a, before[b])
+        first = first[first]
+    return links @ copies, first
+
+
+def linked_rows(regions: DataFrame, classes: DataFrame, sets: DataFrame, threshold: tuple[int, int], most_rows: int, most_members: int = 1 << 20) -> DataFrame:
+    """The blocked product: node, linked (copies of the rows it links with) and least (a node it is connected with), a row for each node and block pair in which it has links; stored.
+
+    A region of more than ``most_rows`` rows or ``most_members`` entries is dealt into
+    blocks by hash, and each pair of blocks is multiplied apart.
+    """
+    sizes = classes.select(F.col("fp").alias("node"), "n", "copies").join(regions, "node")
+    blocks = F.ceil(F.greatest(F.count("*") / most_rows, F.sum("n") / most_members)).cast("int")
+    cells = cut(sizes.groupBy(F.col("component").alias("region")).agg(blocks.alias("blocks")))
+    placed = cut(sizes.join(cells, F.col("component") == F.col("region")).select("region", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"), "node", "copies"))
+    dealt = (
+        sets.join(placed, F.col("fp") == F.col("node"))
+        .dropDuplicates(["fp"])
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "copies", "members")
+        .repartition("region", "i", "j")
+        .sortWithinPartitions("region", "i", "j", "node")
+    )
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, out, ready = None, [], [], 0
+
+        def done() -> None:
+            if len(held) < 2:
+                return
+            node = [r[1] for r in held]
+            linked, first = block_links([np.frombuffer(r[3], np.uint64) for r in held], np.array([r[0] for r in held]), np.array([r[2] for r in held], np.int64), threshold)
+            out.extend((node[k], int(linked[k]), node[first[k]]) for k in np.flatnonzero(linked).tolist())
+
+        def batch_of(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["node", "linked", "least"])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(down * both >= up * (len(x) + len(y) - both))
-            yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for region, i, j, *row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if (region, i, j) != key:
+                    done()
+                    key, held = (region, i, j), []
+                held.append(row)
+            if len(out) > 10_000:
+                yield batch_of(out)
+                out = []
+        done()
+        yield batch_of(out)
 
-    left = sets.select(F.col("fp").alias("a"), F.col("members").alias("x"))
-    right = sets.select(F.col("fp").alias("b"), F.col("members").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return store(dealt.mapInArrow(product, "node long, linked long, least long"), "links")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node and component (the smallest node) of every node of a link table (a, b), by alternating large and small stars."""
-    edges, before = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), None
-    parts = 8
+    """node and component (the smallest node) of every node of a link table (a, b), by alternating large and small stars.
+
+    Every node has a row, if only nodes of links do. Rounds end when each node but the
+    smallest of its component has one edge, to that one; a component of n nodes needs about
+    log(n) rounds, and more than ``most_rounds`` are an error.
+    """
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     for _ in range(most_rounds):
-        edges = cut(edges.coalesce(parts))
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if now == before:
-            break
-        before, parts = now, max(8, now[0] // 100_000)
+        edges = cut(edges)
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("high"), F.lit(0).alias("low")).union(edges.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("node").agg(F.sum("high").alias("high"), F.sum("low").alias("low")).where("high > 1 or (high = 1 and low > 0)").isEmpty():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        down = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = small.union(down.select("u", F.col("m").alias("v"))).distinct()
-    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    raise RuntimeError(f"components are not settled after {most_rounds} rounds")
 
 
-def partial_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """node and component of every node (fp), where rows with one component are in one group of links, though not the other way round: the least neighbour, then that one's."""
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = cut(nodes.select(F.col("fp").alias("node")).join(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")), "node", "left").select("node", F.least("node", F.coalesce("m", "node")).alias("component")).coalesce(8))
-    return cut(least.join(least.select(F.col("node").alias("component"), F.col("component").alias("next")), "component").select("node", F.col("next").alias("component")).coalesce(8))
-
-
-def classes_of(docs: DataFrame, width: int, threshold: tuple[int, int], id_col: str, text_col: str, count_links: bool) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, key, n, fp) and the classes of equal rows: fp, component, doc_id (the least), least (the first row: null ids last, then by text key), copies, and linked (rows of other classes that they link with) if these are counted."""
+def classes_of(docs: DataFrame, width: int, threshold: tuple[int, int], id_col: str, text_col: str, blocks: tuple[int, int] = BLOCKS, seeds: int = 8) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, key, n, fp) and the classes of equal rows: fp, component, doc_id (the least), least (the first row: null ids last, then by text key), copies, and linked (rows of other classes that they link with)."""
     small_batches(docs.sparkSession)
     bits = sketch_bits(docs.count())
-    rows = rows_of(docs, width, bits, id_col, text_col)
-    found = rows.where("n is not null").drop("chunk", "counts")
-    classes = store(found.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "key")).alias("least"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "classes")
-    entries = store(prefix_entries(docs, column_order(rows, bits), width, threshold, text_col), "entries", "lz4")
+    for seed in range(seeds):
+        rows = rows_of(docs, width, bits, seed, id_col, text_col)
+        found = rows.where("n is not null").drop("chunk", "counts", "sig", "wide")
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "key")).alias("least")
+        alike = (F.min("check") != F.max("check")).alias("clash")
+        classes = store(rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), least, F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("wide").alias("wide"), F.first("n").alias("n"), alike), "classes")
+        if classes.where("clash").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"no digest of {seeds} tells all sets apart")
+    entries = store(prefix_entries(docs, column_order(rows, bits), width, threshold, seed, text_col), "entries", "lz4")
     shared = shared_entries(entries)
     discard(entries)
-    pairs = store(candidate_pairs(shared, classes, threshold, first_only=not count_links), "pairs")
-    active = cut(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct())
-    sets = whole_sets(docs, classes.join(active, "fp", "left_semi").select("doc_id", "fp"), width, id_col, text_col)
-    links = cut(verified(pairs.where("a < b"), sets, threshold))
-    if not count_links:
-        labels = partial_labels(active, links)
-        rest = candidate_pairs(shared, classes, threshold, labels).join(pairs, ["a", "b"], "left_anti")
-        links = links.union(cut(verified(store(rest, "pairs"), sets, threshold)))
-    nodes = components(links)
-    if count_links:
-        sizes = classes.select("fp", "copies")
-        ends = links.select(F.col("a").alias("node"), F.col("b").alias("fp")).union(links.select(F.col("b").alias("node"), F.col("a").alias("fp")))
-        nodes = nodes.join(ends.join(sizes, "fp").groupBy("node").agg(F.sum("copies").alias("linked")), "node", "right")  # the least node of a component has no row of its own
-    labelled = classes.drop("sig").join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    return found, labelled
-
-
-def join_similar(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (90, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    coarse = components(region_edges(shared, classes.select("fp", "sig"), threshold, blocks[0]))
+    discard(shared)
+    coarse = cut(coarse.join(classes.select(F.col("fp").alias("node"), "n"), "node").select(F.col("component").alias("h"), F.col("node").alias("fp"), "n"))
+    sized = coarse.join(coarse.groupBy(F.col("h").alias("c_h")).agg(F.count("*").alias("c_n")), F.col("h") == F.col("c_h"))
+    regions = cut(components(region_edges(sized, classes.select("fp", "wide"), threshold, blocks[0])))
+    sets = whole_sets(docs, classes.join(regions.select(F.col("node").alias("fp")), "fp", "left_semi").select("doc_id", "fp"), width, seed, id_col, text_col)
+    links = linked_rows(regions, classes, sets, threshold, blocks[1])
+    nodes = components(links.select(F.col("node").alias("a"), F.col("least").alias("b")))
+    nodes = nodes.join(links.groupBy("node").agg(F.sum("linked").alias("linked")), "node")
+    labelled = classes.drop("sig", "wide", "n", "clash").join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    return found, cut(labelled)
+
+
+def join_similar(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (90, 100), id_col: str = "doc_id", text_col: str = "text", blocks: tuple[int, int] = BLOCKS) -> DataFrame:
     """A row per document: doc_id, n_shingles, copies (documents with an equal set, itself included), n_links (documents it links with, copies counted) and component_id.
 
     Two documents link when 100 * |intersection| >= 90 * |union| (``threshold`` gives the two factors).
     """
-    found, labelled = classes_of(docs, width, threshold, id_col, text_col, True)
-    names = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    found, labelled = classes_of(docs, width, threshold, id_col, text_col, blocks)
+    names = cut(labelled.groupBy("component").agg(F.min("doc_id").alias("component_id")))
     n_links = F.col("copies") - 1 + F.coalesce("linked", F.lit(0))
     final = labelled.drop("doc_id").join(names, "component").select(F.col("fp").alias("k_fp"), "component_id", "copies", n_links.alias("n_links"))
     own = F.when(F.col("n") > 0, F.col("fp"))
@@ -375,8 +578,8 @@ def one_of_each(docs: DataFrame, width: int = 3, threshold: tuple[int, int] = (9
     Rows are told apart by id and text; of rows with both equal, one stays by a hash of
     all its columns. Documents without words link with nothing, so all of them stay.
     """
-    found, labelled = classes_of(docs, width, threshold, id_col, text_col, False)
-    names = labelled.groupBy("component").agg(F.min("least").alias("one"))
+    found, labelled = classes_of(docs, width, threshold, id_col, text_col)
+    names = cut(labelled.groupBy("component").agg(F.min("least").alias("one")))
     ones = labelled.select("fp", "component").join(names, "component").select(F.col("fp").alias("k_fp"), "one")
     stays = F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("fp") == F.col("one.fp")) & (F.col("key") == F.col("one.key"))
     rows = found.where("n > 0").join(ones, F.col("fp") == F.col("k_fp"))

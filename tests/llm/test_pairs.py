@@ -64,19 +64,73 @@ def test_join(spark, messy, width, threshold):
 
 
 def test_join_blocks_and_empty(spark, nothing):
-    """A column with more rows than a block is cut, and nothing is lost."""
+    """Columns and regions with more rows than a block are cut, and nothing is lost."""
     text = [" ".join(f"w{j}" if j != i % 40 else f"v{i}" for j in range(60)) for i in range(90)]
     docs = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")
-    whole = ngram_join.candidate_pairs
-    try:
-        ngram_join.candidate_pairs = lambda *a, **k: whole(*a, **k | {"block": 7})
-        got = {(r["doc_id"], r["component_id"]) for r in ngram_join.join_similar(docs, 1, (90, 100)).collect()}
-    finally:
-        ngram_join.candidate_pairs = whole
-    assert got == {(a, c) for a, _, c in brute_components([{"doc_id": i, "text": t} for i, t in enumerate(text)], 1, 90, 100)}
+    rows = [{"doc_id": i, "text": t} for i, t in enumerate(text)]
+    for threshold in ((90, 100), (97, 100)):
+        got = ngram_join.join_similar(docs, 1, threshold, blocks=(7, 9)).collect()
+        assert {(r["doc_id"], r["component_id"]) for r in got} == {(a, c) for a, _, c in brute_components(rows, 1, *threshold)}
+        sets = sets_of(rows, 1)
+        near = [sum(threshold[1] * len(a & b) >= threshold[0] * len(a | b) for b in sets) - 1 for a in sets]
+        assert [r["n_links"] for r in sorted(got)] == near
     assert ngram_join.join_similar(nothing).count() == 0
 
 
+def test_join_grows_with_the_rows(spark, monkeypatch):
+    """Nothing that a dense group of near copies makes grows with its pairs."""
+    made, plain = [], ngram_join.store
+    monkeypatch.setattr(ngram_join, "store", lambda df, name, *a: made.append((name, out := plain(df, name, *a), out.count())) or out)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(4000)]
+    base = [rng.choice(words) for _ in range(120)]
+    sizes = []
+    for n in (400, 2000):
+        made.clear()
+        text = [" ".join(rng.choice(words) if rng.random() < 0.02 else w for w in base) for _ in range(n)]
+        ngram_join.one_of_each(spark.createDataFrame(list(enumerate(text)), "doc_id long, text string"), 5, (80, 100)).count()
+        sizes.append({name: rows for name, _, rows in made})
+    assert sizes[0].keys() == sizes[1].keys() >= {"regions", "links"}
+    for name in sizes[0].keys() - {"entries", "shared"}:
+        assert sizes[1][name] <= 6 * sizes[0][name], name
+    assert sizes[1]["regions"] < 2000 * 8
+
+
+def test_signatures():
+    """Signatures of any two sizes differ in no more places than the sets have members of their own."""
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 3, 200, 256, 257, 900, 3000, 3100)]
+    sets += [np.sort(np.append(s[: len(s) // 2 + 1], rng.integers(0, 1 << 63, len(s) // 4).astype(np.uint64))) for s in sets]
+    held = ngram_join.Signatures([ngram_join.signature(s).tobytes() for s in sets])
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            size = min(len(ngram_join.signature(x)) for x in (a, b))
+            apart = int(held.apart(np.array([i]), np.array([j]))[0])
+            assert apart == np.bitwise_count(np.bitwise_xor(*(ngram_join.folded(ngram_join.signature(x), size) for x in (a, b)))).sum()
+            assert apart <= len(np.setxor1d(a, b)) and (apart > 0 or a.tolist() == b.tolist())
+
+
+def test_overlaps():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 90, rng.integers(1, 60)).astype(np.uint64)) for _ in range(70)]
+    both = ngram_join.overlaps(sets, dense=9, columns=16)
+    assert all(both[i, j] == (len(np.intersect1d(sets[i], sets[j])) if i != j else 0) for i in range(70) for j in range(70))
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(400 + i, 401 + i) for i in range(50)]
+    parent = {x: x for e in links for x in e}
+    root = lambda x: x if parent[x] == x else root(parent[x])
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    got = {r["node"]: r["component"] for r in ngram_join.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: root(x) for x in {x for e in links if e[0] != e[1] for x in e}}
+    with pytest.raises(RuntimeError):
+        ngram_join.components(spark.createDataFrame(links, "a long, b long"), most_rounds=2)
+
+
 def test_join_links(spark, messy):
     """Links inside a dense group of near copies are counted, and copies with them."""
     words = [f"w{i}" for i in range(80)]
@@ -122,26 +176,47 @@ def exact(rows, queries_, k):
 
 
 def test_nearest(spark):
+    """Every vector is verified here, so the result is exact; untidy rows and extreme vectors."""
     rng = np.random.default_rng(2)
     rows = [(i, rng.standard_normal(16).astype(float).tolist()) for i in range(1500)]
     rows += [(5000 + i, rows[3][1]) for i in range(60)]
+    rows += [(6000, [1e-200] * 16), (6020, [1e-320] * 16), (6040, [1e200] * 16), (6060, [1e308, -1e308] * 8), (6080, [3e38] + [0.0] * 15), (6100, [-0.0] * 15 + [5e-324])]
     bad = [(9000, None), (9020, [0.0] * 16), (9040, [math.nan] * 16), (9060, [None] * 16), (9080, [math.inf] * 16), (9100, [1.0] * 3), (None, rows[0][1])]
     df = spark.createDataFrame([(i, v, 1, 0.5) for i, v in [*rows, *bad]], "vec_id long, embedding array<double>, rank int, score double")
-    got = ann.nearest(df, F.col("vec_id") % 20 == 0, query_block=16, block=700).collect()
-    want = exact(rows, [r for r in rows if r[0] % 20 == 0], 20)
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0, block=700, least=700).collect()
     by = {}
     for r in got:
         by.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    assert set(by) == set(want)
-    hits = 0
-    for q, found in by.items():
-        found.sort()
-        assert [f[0] for f in found] == list(range(1, 21)) and [(-f[2], f[1]) for f in found] == sorted((-f[2], f[1]) for f in found)
-        hits += len({f[1] for f in found} & {i for _, i in want[q]})
-    assert hits >= 0.9 * 20 * len(want)
+    assert set(by) == {i for i, _ in rows if i % 20 == 0}
+    x = np.array([v for _, v in rows])
+    for q, v in rows:
+        if q % 20:
+            continue
+        with np.errstate(over="ignore", invalid="ignore"):
+            scores = (x * np.array(v)).sum(1)
+        scores[np.isnan(scores)] = -np.inf
+        want = sorted((-s, i) for s, (i, _) in zip(scores.tolist(), rows, strict=True) if i != q)[:20]
+        assert [(r, i, -s) for r, (s, i) in enumerate(want, 1)] == sorted(by[q])
     few = ann.nearest(df.where("vec_id < 5"), F.col("vec_id") == 0).collect()
     assert sorted(r["vec_id"] for r in few) == [1, 2, 3, 4]
     assert ann.nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
+    with pytest.raises(ValueError):
+        ann.Windows(np.ones((3, 2)), 256, 0.5, 1)
+
+
+def test_nearest_recall(spark):
+    """The windows choose: at most a third of a block is verified, and recall is at least 0.9."""
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    windows = ann.Windows(x, 128, 0.7, 7)
+    directions = windows.directions(x[ids % 20 == 0])
+    seen = [len(h) / len(x) for h in windows.search(directions, max(400, math.ceil(0.15 * len(x))))]
+    assert np.mean(seen) <= 1 / 3
+    want = dict(exact(rows, [r for r in rows if r[0] % 20 == 0], 20))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0).collect()
+    hits = sum(r["vec_id"] in {i for _, i in want[r["query_id"]]} for r in got)
+    assert hits >= 0.9 * 20 * len(want)
 
 
 def test_mixing(spark, messy, nothing):
