@@ -44,17 +44,26 @@ def hex_luma(c: Column) -> Column:
 
 
 def is_ink(c: Column, max_luma: float) -> Column:
-    """The display's test: an unknown colour stays, a known one if it is dark enough."""
-    return c.isNull() | (hex_luma(c) <= max_luma)
+    """The display's test: an unknown colour stays, a known one if it is dark enough.
+
+    Two hex digits are in order as text, so no channel has to be parsed.
+    """
+    last = max((b for b in range(256) if b / 255 <= max_luma), default=-1)
+    h = F.lower(F.ltrim(c, F.lit("#")))
+    known = F.regexp_like(c, F.lit("^#?[0-9a-fA-F]{6}$"))
+    dark = F.lit(False) if last < 0 else (F.substring(h, 1, 2) <= f"{last:02x}") & (F.substring(h, 3, 2) <= f"{last:02x}") & (F.substring(h, 5, 2) <= f"{last:02x}")
+    return c.isNull() | (known & dark) | (~known & F.lit(max_luma >= 1))
 
 
 def svg_luma(s: Column) -> Column:
     """The largest channel of an SVG colour; null where none is stated or understood."""
     v = F.lower(F.trim(s))
     six = F.when(F.regexp_like(v, F.lit("^#[0-9a-f]{6}$")), F.substring(v, 2, 6)).when(F.regexp_like(v, F.lit("^#[0-9a-f]{3}$")), F.regexp_replace(F.substring(v, 2, 3), "(.)", "$1$1"))
-    rgb = r"^rgb\(\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*\)"
-    parts = [F.try_to_number(F.regexp_extract(v, rgb, i), F.lit("999999")).cast("double") / 255 for i in (1, 2, 3)]
-    return F.when(v == "black", 0.0).when(v == "white", 1.0).when(six.isNotNull(), F.greatest(*[_channel(six, i) for i in (1, 3, 5)])).when(F.regexp_like(v, F.lit(rgb)), F.greatest(*parts))
+    inside = F.when(v.startswith("rgb(") & v.contains(")"), F.split(F.substring_index(F.substr(v, F.lit(5)), ")", 1), ","))
+    parts = F.transform(inside, lambda x: F.trim(x, F.lit(" \t\r\n\f")))
+    digits = (F.size(parts) == 3) & F.forall(parts, lambda x: F.length(x).between(1, 18) & (F.translate(x, "0123456789", "") == ""))
+    level = F.array_max(F.transform(parts, lambda x: x.try_cast("double"))) / 255
+    return F.when(v == "black", 0.0).when(v == "white", 1.0).when(six.isNotNull(), F.greatest(*[_channel(six, i) for i in (1, 3, 5)])).when(digits, level)
 
 
 def svg_is_black(s: Column, max_luma: float) -> Column:

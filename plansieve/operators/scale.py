@@ -5,8 +5,10 @@ A page is the columns ``keys``. ``ord`` is a row's place on its page and breaks
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,21 +16,26 @@ from pyspark.sql.window import Window
 from ..functions import geometry as G
 from ..functions.color import first_set, is_black
 from ..schema import USUAL, Thresholds
+from .extract import classify_curves
 
 EDGES = G.EDGES
 
 
 def black_objects(objects: DataFrame, max_luma: float, crop: tuple[Column, ...] | None = None) -> DataFrame:
-    """Objects with known edges, black stroke or fill, and (if a crop is given) some part inside it."""
-    stroke = first_set(F.col("stroking_color"), F.col("stroke_color"))
-    known = F.col("x0").isNotNull() & F.col("top").isNotNull() & F.col("x1").isNotNull() & F.col("bottom").isNotNull()
-    kept = objects.where((is_black(stroke, max_luma) | is_black(F.col("non_stroking_color"), max_luma)) & known)
-    return kept if crop is None else kept.where(G.intersects(G.edges(), crop))
-
+    """Black lines and rectangles with known edges and (if a crop is given) some part inside it.
 
-def black_lines(lines: DataFrame, max_luma: float) -> DataFrame:
-    """Lines count by their stroke alone."""
-    return lines.where(is_black(first_set(F.col("stroking_color"), F.col("stroke_color")), max_luma) & F.col("x0").isNotNull())
+    Lines count by their stroke alone; rectangles, and paths that are rectangles, by stroke
+    or fill; nothing else counts. Adds ``shape`` (line or rect).
+    """
+    stroke = is_black(first_set(F.col("stroking_color"), F.col("stroke_color")), max_luma)
+    either = stroke | is_black(F.col("non_stroking_color"), max_luma)
+    known = F.col("x0").isNotNull() & F.col("top").isNotNull() & F.col("x1").isNotNull() & F.col("bottom").isNotNull()
+    inside = known if crop is None else known & G.intersects(G.edges(), crop)
+    kind = F.col("kind")
+    shape = F.when(kind == "line", "line").otherwise("rect").alias("shape")
+    plain = objects.where(inside & F.when(kind == "line", stroke).when(kind == "rect", either)).select("*", shape)
+    paths = objects.where(inside & (kind == "curve") & either)
+    return plain.unionByName(classify_curves(paths).where("type = 'rect_curve'").select(*objects.columns, shape))
 
 
 def label_sized(t: Thresholds = USUAL) -> Column:
@@ -37,19 +44,49 @@ def label_sized(t: Thresholds = USUAL) -> Column:
     return w.between(*t.label_width) & h.between(*t.label_height) & (G.aspect(w, h) >= t.label_aspect)
 
 
+def _centres(cx: Column | None, cy: Column | None) -> tuple[Column, Column]:
+    return (F.col("x0") + F.col("x1")) * 0.5 if cx is None else cx, (F.col("top") + F.col("bottom")) * 0.5 if cy is None else cy
+
+
+def near_boxes(boxes: DataFrame, keys: Sequence[str], tolerance: float = USUAL.dedupe_tolerance, cx: Column | None = None, cy: Column | None = None) -> DataFrame:
+    """Pairs of boxes of a page (ord < other) whose centres are near each other, met in the cells of a grid."""
+    cx, cy = _centres(cx, cy)
+    cell = lambda c: F.floor(F.col(c) / tolerance)
+    a = boxes.select(*keys, F.col("ord").cast("long").alias("ord"), cx.alias("ax"), cy.alias("ay")).withColumns({"cell_x": cell("ax"), "cell_y": cell("ay")})
+    b = a.toDF(*keys, "other", "bx", "by", "cell_x", "cell_y")
+    around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
+    b = b.withColumn("cell_x", around("cell_x")).withColumn("cell_y", around("cell_y"))
+    near = (F.abs(F.col("ax") - F.col("bx")) < tolerance) & (F.abs(F.col("ay") - F.col("by")) < tolerance)
+    return a.join(b, [*keys, "cell_x", "cell_y"]).where((F.col("ord") < F.col("other")) & near).select(*keys, "ord", "other")
+
+
 def dedupe_boxes(boxes: DataFrame, keys: Sequence[str], tolerance: float = USUAL.dedupe_tolerance, cx: Column | None = None, cy: Column | None = None) -> DataFrame:
     """Keeps, in order of ``ord``, each box whose centre isn't near that of a box already kept on its page.
 
-    The order decides, so a page's boxes are folded one after the other; pages are
-    independent, and only keys, ordinals and centres are gathered, not the rows.
+    The order decides, so a page's boxes are taken one after the other; pages are
+    independent, only keys, ordinals and centres are gathered, and the kept ones stand in
+    a grid, so a page takes time in proportion to its boxes.
     """
-    cx = (F.col("x0") + F.col("x1")) * 0.5 if cx is None else cx
-    cy = (F.col("top") + F.col("bottom")) * 0.5 if cy is None else cy
-    item = F.struct(F.col("ord").cast("long").alias("ord"), cx.alias("cx"), cy.alias("cy"))
-    none = F.array().cast("array<struct<ord:bigint,cx:double,cy:double>>")
-    near = lambda k, b: (F.abs(k["cx"] - b["cx"]) < tolerance) & (F.abs(k["cy"] - b["cy"]) < tolerance)
-    fold = F.aggregate(F.array_sort(F.collect_list(item)), none, lambda kept, b: F.when(F.exists(kept, lambda k: near(k, b)), kept).otherwise(F.array_append(kept, b)))
-    kept = boxes.groupBy(*keys).agg(fold.alias("kept")).select(*keys, F.explode(F.transform("kept", lambda k: k["ord"])).alias("ord"))
+    cx, cy = _centres(cx, cy)
+    placed = boxes.select(*keys, F.col("ord").cast("long").alias("ord"), cx.alias("cx"), cy.alias("cy"))
+    kinds = dict(placed.dtypes)
+
+    def thin(page: pa.Table) -> pa.Table:
+        page = page.sort_by("ord")
+        grid: dict[tuple[int, int], list[tuple[float, float]]] = {}
+        stays = []
+        for x, y in zip(page.column("cx").to_pylist(), page.column("cy").to_pylist(), strict=True):
+            if x is None or y is None or not math.isfinite(x) or not math.isfinite(y):
+                stays.append(True)  # near nothing
+                continue
+            i, j = math.floor(x / tolerance), math.floor(y / tolerance)
+            taken = any(abs(x - u) < tolerance and abs(y - v) < tolerance for a in (i - 1, i, i + 1) for b in (j - 1, j, j + 1) for u, v in grid.get((a, b), ()))
+            stays.append(not taken)
+            if not taken:
+                grid.setdefault((i, j), []).append((x, y))
+        return page.filter(pa.array(stays, pa.bool_())).select([*keys, "ord"])
+
+    kept = placed.groupBy(*keys).applyInArrow(thin, ", ".join(f"{c} {kinds[c]}" for c in (*keys, "ord")))
     return boxes.join(kept, [*keys, "ord"], "left_semi")
 
 

@@ -43,11 +43,10 @@ def detect_scale(documents: DataFrame, decoder: Decoder, reader: Reader, crops:
         raise ValueError("dpi and upload limit must be positive")
     good, _ = intake.split_uploads(documents)
     objects = decode_documents(good, decoder, crops.where(F.col("page") >= 1))
-    curves = E.classify_curves(objects.where("kind = 'curve'")).where("type = 'rect_curve'").select(*objects.columns)
-    rank = F.when(F.col("kind") == "rect", 0).otherwise(1)
-    found = objects.where("kind = 'rect'").unionByName(curves).withColumn("ord", rank.cast("long") * (1 << 40) + F.col("ord"))
     c = crops.select(*KEYS, *[F.col(e).alias(f"c_{e}") for e in G.EDGES])
-    rects = S.black_objects(found.join(c, KEYS), max_luma, G.edges("c_")).select(*KEYS, "ord", *G.EDGES)
+    black = S.black_objects(objects.join(c, KEYS), max_luma, G.edges("c_")).where("shape = 'rect'")
+    rank = F.when(F.col("kind") == "rect", 0).otherwise(1)  # native rectangles come first
+    rects = black.select(*KEYS, (rank.cast("long") * (1 << 40) + F.col("ord")).alias("ord"), *G.EDGES)
     boxes = S.dedupe_boxes(rects.where(S.label_sized(t)), KEYS, t.dedupe_tolerance)
     tokens = read_labels(S.inset_boxes(boxes, t.label_inset), good, reader, t.label_dpi)
     raw = T.decode_tokens(F.col("tokens"), t)

@@ -70,12 +70,12 @@ def geo_rectlike(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.classify_curves(recipe.curves(spark, sf_dir)).select("sheet", "ord", (F.col("type") == "rect_curve").alias("rectlike"))
 
 
-@query(f"WITH {SHAPE} SELECT sheet, ord, px AS x0, py AS y0 FROM s WHERE k IN (0, 1)")
+@query(f"WITH {SHAPE} SELECT sheet, ord, CASE WHEN k <> 3 THEN px END AS x0, CASE WHEN k <> 3 THEN py END AS y0, CASE k WHEN 2 THEN px + 0.75::DOUBLE * w ELSE px + w END AS x2, py + h AS y2 FROM s WHERE k IN (0, 1) OR (k = 2 AND {NEARLY})")
 def geo_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first corner of straight rectangles."""
-    p = _paths(spark, sf_dir).where(shapes.has_axis_rectangle(F.col("path")))
-    corner = shapes.rectangle_corners(F.col("path"), F.col("path"))[0]
-    return p.select("sheet", "ord", corner["x"].alias("x0"), corner["y"].alias("y0"))
+    """The first and third corner of straight and of turned rectangles."""
+    p = extract.classify_curves(recipe.curves(spark, sf_dir)).where("corners is not null")
+    at = lambda i, c: F.col("corners")[i][c]
+    return p.select("sheet", "ord", at(0, "x").alias("x0"), at(0, "y").alias("y0"), at(2, "x").alias("x2"), at(2, "y").alias("y2"))
 
 
 @query(f"WITH {SHAPE} SELECT sheet, ord, px AS x0, px + w AS x1, py + h AS y1 FROM s WHERE (k = 2 AND {PARTIAL}) OR (k IN (0, 1) AND w >= 2 * h)")
@@ -103,12 +103,11 @@ def agg_pathbbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paths(spark, sf_dir).select("sheet", "ord", *[e[c].alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
-@query(f"WITH {SHAPE} SELECT sheet, ord, px + CASE k WHEN 2 THEN 0.4375::DOUBLE WHEN 3 THEN 0.5 ELSE 0.5 END * w AS cx FROM s WHERE k <> 3")
+@query(f"WITH {SHAPE} SELECT sheet, ord, round(px + CASE k WHEN 2 THEN 0.4375::DOUBLE * w WHEN 3 THEN 2 * w / 3 ELSE 0.5::DOUBLE * w END, 6) AS cx FROM s")
 def agg_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mean x of paths with four vertices."""
-    p = shapes.without_repeats(F.col("path"))
-    mean = F.aggregate(F.transform(p, lambda q: q["x"]), F.lit(0.0), lambda a, v: a + v) / 4
-    return _paths(spark, sf_dir).where(F.size(p) == 4).select("sheet", "ord", mean.alias("cx"))
+    """The mean x of a path's vertices."""
+    mean = G.let(shapes.without_repeats(F.col("path")), lambda p: F.aggregate(F.transform(p, lambda q: q["x"]), F.lit(0.0), lambda a, v: a + v) / F.size(p))
+    return _paths(spark, sf_dir).select("sheet", "ord", F.round(mean, 6).alias("cx"))
 
 
 @query(f"WITH {SHAPE} SELECT sheet, ord, CASE k WHEN 3 THEN 3 ELSE 4 END AS n FROM s")
@@ -130,26 +129,27 @@ def win_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paths(spark, sf_dir).select("sheet", "ord", F.size(changed).alias("changes"))
 
 
-@query(f"WITH {SHAPE} SELECT sheet, ord, CASE k WHEN 0 THEN 2 * w + 2 * h WHEN 1 THEN 2 * w + 2 * h END AS ring FROM s WHERE k IN (0, 1)")
+@query(f"""WITH {SHAPE} SELECT sheet, ord, round(CASE k WHEN 2 THEN w + h + 0.75::DOUBLE * w + sqrt(0.0625::DOUBLE * w * w + h * h) WHEN 3 THEN w + h + sqrt(w * w + h * h) ELSE 2 * w + 2 * h END, 6) AS ring FROM s""")
 def win_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The length around straight paths, with the closing side."""
+    """The length around paths, with the closing side."""
     p = F.col("path")
     after = F.concat(F.slice(p, 2, F.size(p)), F.slice(p, 1, 1))
     length = F.aggregate(F.transform(F.arrays_zip(p.alias("a"), after.alias("b")), lambda z: G.distance(z["a"], z["b"])), F.lit(0.0), lambda a, v: a + v)
-    return _paths(spark, sf_dir).where("l_linenumber % 4 in (0, 1)").select("sheet", "ord", length.alias("ring"))
+    return _paths(spark, sf_dir).select("sheet", "ord", F.round(length, 6).alias("ring"))
 
 
-@query(f"WITH {SHAPE} SELECT sheet, ord, k <> 3 AS inside FROM s WHERE k <> 2")
+@query(f"WITH {SHAPE} SELECT sheet, ord, k IN (0, 1) AS inside FROM s")
 def set_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the corners of a path's extent are points of it."""
-    return _paths(spark, sf_dir).where("l_linenumber % 4 <> 2").select("sheet", "ord", shapes.visits_corners(F.col("path")).alias("inside"))
+    return _paths(spark, sf_dir).select("sheet", "ord", shapes.visits_corners(F.col("path")).alias("inside"))
 
 
-@query(f"WITH {SHAPE} SELECT sheet, ord, px AS x, py AS y FROM s WHERE k IN (0, 1)")
+@query(f"WITH {SHAPE} SELECT sheet, ord, px AS x, py AS y, k <> 3 AS all_four FROM s")
 def srt_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first vertex by angle about the centre."""
-    first = G.let(shapes.by_angle(F.array_distinct("path")), lambda q: q[0])
-    return _paths(spark, sf_dir).where("l_linenumber % 4 in (0, 1)").select("sheet", "ord", first["x"].alias("x"), first["y"].alias("y"))
+    """The first vertex by angle about the centre (of a triangle, with one vertex given twice), and whether four are different."""
+    four = G.let(F.array_distinct("path"), lambda q: F.when(F.size(q) == 3, F.concat(q, F.slice(q, 1, 1))).otherwise(q))
+    first = G.let(shapes.by_angle(four), lambda q: q[0])
+    return _paths(spark, sf_dir).select("sheet", "ord", first["x"].alias("x"), first["y"].alias("y"), (F.size(F.array_distinct("path")) == 4).alias("all_four"))
 
 
 @query(f"WITH {SHAPE} SELECT sheet, ord, px AS x, py AS y FROM s")
@@ -203,7 +203,6 @@ def prj_mid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recipe.rectangles(spark, sf_dir).select("sheet", "ord", m["x"].alias("x"), m["y"].alias("y"))
 
 
-@query("SELECT s_suppkey, 600::DOUBLE AS w, 300::DOUBLE AS h, s_suppkey % 10 * 60::DOUBLE AS x FROM supplier")
+@query("SELECT s_suppkey * 1000 + i AS sheet, 600::DOUBLE AS w, 300::DOUBLE AS h, s_suppkey % 10 * 60::DOUBLE AS x FROM supplier, (SELECT unnest(range(10)) AS i)")
 def prj_regionstats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = recipe.crops(spark, sf_dir).where("sheet % 1000 = 0")
-    return c.select((F.col("sheet") / 1000).cast("long").alias("s_suppkey"), (F.col("x1") - F.col("x0")).alias("w"), (F.col("bottom") - F.col("top")).alias("h"), F.col("x0").alias("x"))
+    return recipe.crops(spark, sf_dir).select("sheet", (F.col("x1") - F.col("x0")).alias("w"), (F.col("bottom") - F.col("top")).alias("h"), F.col("x0").alias("x"))

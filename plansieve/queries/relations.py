@@ -113,14 +113,14 @@ def jn_byid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recipe.kinds(spark, sf_dir).join(F.broadcast(wanted), "id").select("sheet", "ord", "type", "x0")
 
 
-@query(f"""WITH {rect_cte()}, p AS (SELECT * FROM r WHERE l_linenumber = 6)
+@query(f"""WITH {rect_cte()}, p AS (SELECT * FROM r)
   SELECT a.sheet, a.ord, b.ord AS other, least(a.x0, b.x0) AS x0, greatest(a.x1, b.x1) AS x1 FROM p a JOIN p b ON a.sheet = b.sheet AND a.ord < b.ord
   WHERE CASE WHEN abs(a.top - b.top) <= 40 AND abs(a.bottom - b.bottom) <= 40 THEN least(a.x1, b.x1) <= greatest(a.x0, b.x0)
              ELSE abs(a.x0 - b.x0) <= 40 AND abs(a.x1 - b.x1) <= 40 AND least(a.bottom, b.bottom) <= greatest(a.top, b.top) END""")
 def jn_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Partial shapes that face each other, at a tolerance that finds some."""
+    """Boxes that face each other, at a tolerance that finds some."""
     box = F.struct(F.col("x0"), F.col("top").alias("y0"), F.col("x1"), F.col("bottom").alias("y1"))
-    p = recipe.rectangles(spark, sf_dir).where("l_linenumber = 6").select("sheet", "ord", box.alias("a"))
+    p = recipe.rectangles(spark, sf_dir).select("sheet", "ord", box.alias("a"))
     q = p.select("sheet", F.col("ord").alias("other"), F.col("a").alias("b"))
     joint = shapes.facing_box(F.col("a"), F.col("b"), 40.0)
     return p.join(q, "sheet").where("ord < other").withColumn("joint", joint).where("joint is not null").select("sheet", "ord", "other", "joint.x0", "joint.x1")
@@ -144,12 +144,10 @@ def agg_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("sheet").agg(F.count("*").alias("n"), F.round(F.sum("x0"), 2).alias("x"))
 
 
-
-
-@query(DEDUPE)
+@query(f"WITH {rect_cte(dense=True)} SELECT a.sheet, a.ord, b.ord AS other FROM r a JOIN r b ON a.sheet = b.sheet AND a.ord < b.ord WHERE abs(a.x0 - b.x0) < 8 AND abs(a.top - b.top) < 8")
 def jn_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The self-comparison inside the dedupe is the fold itself."""
-    return agg_dedupe(spark, sf_dir)
+    """The comparison that the dedupe makes: pairs of boxes near each other on dense pages."""
+    return scale.near_boxes(recipe.rectangles(spark, sf_dir, dense=True), KEYS, 8.0, F.col("x0"), F.col("top"))
 
 
 @query(f"WITH {rect_cte()}, {label_cte()}, {match_cte()}, {scale_cte()} SELECT sheet, round(scale, 6) AS scale FROM sc WHERE scale IS NOT NULL")
@@ -290,13 +288,15 @@ def lim_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", G.clamp(F.col("s_suppkey") - 3, 1, 50).alias("page"))
 
 
-@query(f"""WITH {rect_cte()} SELECT sheet, count(*) AS n, min(kind) AS first_kind FROM (SELECT sheet, 'rect' AS kind FROM r WHERE l_linenumber <= 3
-  UNION ALL SELECT sheet, 'curve' FROM r WHERE l_linenumber = 4) GROUP BY sheet""")
+@query(f"""WITH {rect_cte()}, u AS (SELECT sheet, ord, CASE WHEN l_linenumber = 2 THEN 0 ELSE 1 END AS src FROM r WHERE l_linenumber IN (2, 4, 5))
+  SELECT sheet, ord, src, row_number() OVER (PARTITION BY sheet ORDER BY src, ord) AS place FROM u""")
 def set_union_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Native rectangles, then rectangles among paths."""
-    r = recipe.rectangles(spark, sf_dir)
-    native = r.where("l_linenumber <= 3").select("sheet", F.lit("rect").alias("kind"))
-    return native.unionByName(r.where("l_linenumber = 4").select("sheet", F.lit("curve").alias("kind"))).groupBy("sheet").agg(F.count("*").alias("n"), F.min("kind").alias("first_kind"))
+    """Native rectangles, then rectangles among paths, in order."""
+    raw = recipe.raw_objects(spark, sf_dir)
+    native = raw.where("kind = 'rect'").select("sheet", "ord", F.lit(0).alias("src"))
+    paths = extract.classify_curves(raw.where("kind = 'curve'")).where("type = 'rect_curve'").select("sheet", "ord", F.lit(1).alias("src"))
+    place = F.row_number().over(Window.partitionBy("sheet").orderBy("src", "ord"))
+    return native.unionByName(paths).select("sheet", "ord", "src", place.cast("long").alias("place"))
 
 
 @query(f"WITH {rect_cte()}, {kinds_cte()} SELECT sheet, ord, type, text FROM e")
@@ -361,22 +361,30 @@ def prj_inches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sized.select("sheet", "ord", F.round("w_in", 4).alias("w_in"), F.round("h_in", 4).alias("h_in"))
 
 
-@query(f"""WITH {rect_cte()}, c AS (SELECT *, {COLORS} AS ns, CASE WHEN l_orderkey % 5 = 0 THEN {COLORS} END AS s1,
-    CASE WHEN l_orderkey % 2 = 0 THEN {COLORS} WHEN l_orderkey % 3 = 0 THEN []::DOUBLE[] END AS s2 FROM r),
-  d AS (SELECT *, CASE WHEN len(s1) > 0 THEN s1 ELSE s2 END AS st FROM c)
-  SELECT sheet, ord FROM d WHERE l_partkey % 50 <> 0 AND ({black_sql("st", 0.02)} OR {black_sql("ns", 0.02)})""")
+INKED = f"""{rect_cte()}, {CROPS}, c AS (SELECT r.*, c0, c1, {COLORS} AS ns, CASE WHEN l_orderkey % 5 = 0 THEN {COLORS} END AS s1,
+    CASE WHEN l_orderkey % 2 = 0 THEN {COLORS} WHEN l_orderkey % 3 = 0 THEN []::DOUBLE[] END AS s2 FROM r JOIN crops ON r.sheet = crops.sheet),
+  d AS (SELECT *, CASE WHEN len(s1) > 0 THEN s1 ELSE s2 END AS st FROM c),
+  inked AS (
+    SELECT *, CASE WHEN l_linenumber = 1 THEN 'line' ELSE 'rect' END AS shape FROM d
+    WHERE l_partkey % 50 <> 0 AND NOT (x1 < c0 OR x0 > c0 + 600 OR bottom < c1 OR top > c1 + 300)
+      AND CASE WHEN l_linenumber = 1 THEN {black_sql("st", 0.02)} WHEN l_linenumber IN (2, 4, 5) THEN {black_sql("st", 0.02)} OR {black_sql("ns", 0.02)} ELSE FALSE END)"""
+
+
+def _inked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = recipe.crops(spark, sf_dir).select("sheet", *[F.col(e).alias(f"c_{e}") for e in G.EDGES])
+    return scale.black_objects(recipe.raw_objects(spark, sf_dir).join(c, "sheet"), 0.02, G.edges("c_"))
+
+
+@query(f"WITH {INKED} SELECT sheet, ord, shape FROM inked")
 def src_black(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objects in black ink with known edges."""
-    return scale.black_objects(recipe.raw_objects(spark, sf_dir), 0.02).select("sheet", "ord")
+    """Black lines and rectangles, those among paths included, inside their page's crop."""
+    return _inked(spark, sf_dir).select("sheet", "ord", "shape")
 
 
-@query(f"""WITH {rect_cte()}, c AS (SELECT *, CASE WHEN l_orderkey % 5 = 0 THEN {COLORS} END AS s1, CASE WHEN l_orderkey % 2 = 0 THEN {COLORS} WHEN l_orderkey % 3 = 0 THEN []::DOUBLE[] END AS s2 FROM r)
-  SELECT sheet, ord, x0, top, x1, bottom FROM c WHERE l_linenumber = 2 AND s1 IS NULL AND s2 IS NULL AND l_partkey % 50 <> 0 AND NOT (x1 < 100 OR x0 > 700 OR bottom < 50 OR top > 400)""")
+@query(f"WITH {INKED} SELECT sheet, ord, x0, top, x1, bottom FROM inked WHERE l_linenumber = 2")
 def src_black_add(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rectangles without any stated stroke (which count as black) inside a crop."""
-    crop = tuple(F.lit(v) for v in (100.0, 50.0, 700.0, 400.0))
-    unstated = recipe.raw_objects(spark, sf_dir).where("kind = 'rect' and stroke_color is null and stroking_color is null")
-    return scale.black_objects(unstated, 0.02, crop).select("sheet", "ord", *G.EDGES)
+    """Native rectangles by stroke or fill."""
+    return _inked(spark, sf_dir).where("kind = 'rect'").select("sheet", "ord", *G.EDGES)
 
 
 @query(f"WITH {rect_cte()}, {label_cte()}, {match_cte()}, {scale_cte()}, d AS (SELECT sheet, count(*) AS n FROM r GROUP BY sheet) SELECT d.sheet, n, round(scale, 6) AS scale FROM d LEFT JOIN sc ON d.sheet = sc.sheet")

@@ -200,24 +200,65 @@ def flt_svg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", svg.paint_action(at(p), at(F.floor(p / 5)), 0.02).alias("action"))
 
 
-@query()
+#: A page of a group with definitions, a nested group and four drawn nodes whose paints vary.
+SVG_PAINTS = ("black", "#808080", "none", "rgb(1, 2, 3)", "#0f0")
+
+
+def _svg_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paints = F.array(*[F.lit(x) for x in SVG_PAINTS])
+    at = lambda k: F.element_at(paints, (k % 5 + 1).cast("int"))
+    p = F.col("p_partkey")
+    page = F.concat(
+        F.lit('<svg xmlns="http://www.w3.org/2000/svg" xmlns:a="urn:a" width="90" height="90"><defs><path fill="red"/></defs><g id="g1" fill="'),
+        at(p),
+        F.lit('"><path id="p1" stroke="'),
+        at(F.floor(p / 5)),
+        F.lit('"/></g><rect id="r1" style="Fill: '),
+        at(F.floor(p / 25)),
+        F.lit('; opacity:.5" stroke="black"/><a:text id="t1">A &amp; B</a:text>'),
+        F.when(p % 11 == 0, F.lit("<broken>")).otherwise(F.lit("")),
+        F.lit("</svg>"),
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", page.alias("page"))
+
+
+SVG = f"""WITH q AS (SELECT p_partkey, p_partkey % 11 <> 0 AS good, {list(SVG_PAINTS)} AS c FROM part),
+  p AS (SELECT p_partkey, good, c[p_partkey % 5 + 1] AS g, c[p_partkey // 5 % 5 + 1] AS s, c[p_partkey // 25 % 5 + 1] AS f FROM q),
+  k AS (SELECT *, g IN ('black', 'rgb(1, 2, 3)') AS g_kept, s IN ('black', 'rgb(1, 2, 3)') AS s_black, f IN ('black', 'rgb(1, 2, 3)') AS f_black FROM p)"""
+
+
+def _filtered(spark: SparkSession, sf_dir: str, crop=None) -> DataFrame:
+    return svg.filter_pages(_svg_pages(spark, sf_dir), "page", 0.02, crop)
+
+
+@query(f"""{SVG} SELECT p_partkey, good, CASE WHEN good THEN 3 + g_kept::INT + (g_kept AND s_black)::INT END::BIGINT AS nodes,
+  CASE WHEN good THEN g_kept END AS g1, CASE WHEN good THEN g_kept AND s_black END AS p1 FROM k""")
 def geo_svgwalk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes left of small SVG pages after the ink filter."""
-    page = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg"><defs><path fill="red"/></defs><g><path fill="'), F.when(F.col("p_partkey") % 2 == 0, "black").otherwise("#808080"), F.lit('" stroke="none"/></g><path style="stroke: red"/></svg>'))
-    kept = svg.filtered_svg(page, 0.02)
-    return table(spark, sf_dir, "part").select("p_partkey", F.regexp_count(kept, F.lit("path")).cast("long").alias("paths"))
+    """Nodes left of pages: definitions, the group and the path in it, the rectangle and the text; malformed pages have none."""
+    out = F.col("filtered")
+    nodes = F.regexp_count(out, F.lit(r"<(defs|g|rect|a:text)\b")) + F.regexp_count(out, F.lit('id="p1"'))
+    return _filtered(spark, sf_dir).select("p_partkey", F.col("error").isNull().alias("good"), nodes.cast("long").alias("nodes"), out.contains('id="g1"').alias("g1"), out.contains('id="p1"').alias("p1"))
 
 
-@query()
+@query(f"""{SVG} SELECT p_partkey, CASE WHEN good THEN CASE WHEN f_black THEN f ELSE 'none' END END AS fill, CASE WHEN good THEN '.5' END AS opacity, CASE WHEN good THEN 'black' END AS stroke,
+  CASE WHEN good THEN 'A & B' END AS text, CASE WHEN good THEN 'http://www.w3.org/2000/svg' END AS namespace FROM k""")
 def snk_svg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The filtered pages themselves."""
-    page = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg"><rect fill="'), F.when(F.col("p_size") > 25, "black").otherwise("white"), F.lit('"/></svg>'))
-    return table(spark, sf_dir, "part").select("p_partkey", svg.filtered_svg(page, 0.02).alias("svg"))
+    """The filtered pages: the rectangle's paints, the text, and the namespace of the root."""
+    out = F.col("filtered")
+    part = lambda r: F.regexp_extract(out, r, 1)
+    text = F.regexp_replace(part("<a:text[^>]*>([^<]*)</a:text>"), "&amp;", "&")
+    return _filtered(spark, sf_dir).select(
+        "p_partkey", part(r'<rect[^>]*style="[Ff]ill: ([^";]*)').alias("fill"), part('<rect[^>]*opacity: ?([^";]*)').alias("opacity"), part('<rect[^>]* stroke="([^"]*)"').alias("stroke"), text.alias("text"), part('<svg[^>]* xmlns="([^"]*)"').alias("namespace")
+    )
 
 
-@query("SELECT p_partkey, p_size > 25 AS kept, '5 6 10 20' AS view FROM part")
+@query(f"""{SVG} SELECT p_partkey, CASE WHEN good THEN 1234567.25::DOUBLE END AS view_x, CASE WHEN good THEN p_partkey / 8 END AS view_y, CASE WHEN good THEN 10.5::DOUBLE END AS view_w,
+  CASE WHEN good THEN 20::DOUBLE END AS view_h, CASE WHEN good THEN 'xMinYMin meet' END AS ratio, CASE WHEN good THEN FALSE END AS sized FROM k""")
 def geo_svgbuild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages filtered and cut to a crop: whether the rectangle is left, and the view box."""
-    page = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" width="90" height="90"><rect fill="'), F.when(F.col("p_size") > 25, "black").otherwise("white"), F.lit('"/></svg>'))
-    built = table(spark, sf_dir, "part").select("p_partkey", svg.filtered_svg(page, 0.02, (5.0, 6.0, 15.0, 26.0)).alias("svg"))
-    return built.select("p_partkey", F.col("svg").contains("rect").alias("kept"), F.regexp_extract("svg", 'viewBox="([^"]*)"', 1).alias("view"))
+    """Pages cut to a crop: the view box in full, how it is fitted, and no size of its own."""
+    y = F.col("p_partkey") / 8
+    built = _filtered(spark, sf_dir, (F.lit(1234567.25), y, F.lit(1234577.75), y + 20))
+    root = F.regexp_extract("filtered", "<svg[^>]*>", 0)
+    view = F.split(F.regexp_extract(root, 'viewBox="([^"]*)"', 1), " ")
+    numbers = [F.try_element_at(view, F.lit(i)).cast("double").alias(n) for i, n in enumerate(("view_x", "view_y", "view_w", "view_h"), 1)]
+    return built.select("p_partkey", *numbers, F.regexp_extract(root, 'preserveAspectRatio="([^"]*)"', 1).alias("ratio"), F.regexp_like(root, F.lit(" (width|height)=")).alias("sized"))

@@ -189,10 +189,14 @@ def test_uploads(spark):
     assert good.count() == 1 and sorted(r["error"] for r in bad.collect()) == ["not a PDF", "not a PDF", "too large"]
 
 
-def test_svg():
+def test_svg(spark):
     page = '<svg xmlns="http://www.w3.org/2000/svg" width="9" height="9"><defs><path fill="red"/></defs><g><path fill="#000" stroke="red"/></g><path style="stroke: red"/><path fill="none" stroke="none"/></svg>'
-    out = svg.filter_svg(page, 0.02, (1, 2, 5, 8))
-    assert out.count("path") == 3 and 'stroke="none"' in out and 'viewBox="1 2 4 6"' in out and "width" not in out
+    df = spark.createDataFrame([(1, page), (2, None), (3, "<svg"), (4, "<svg/>")], "id int, page string")
+    rows = {r["id"]: r for r in svg.filter_pages(df, "page", 0.02, tuple(F.lit(v) for v in (1.0, 2.0, 5.0, 1234567.25))).collect()}
+    out = rows[1]["filtered"]
+    assert out.count("<path") == 3 and 'stroke="none"' in out and 'viewBox="1.0 2.0 4.0 1234565.25"' in out and "width" not in out and out.startswith('<svg xmlns="http://www.w3.org/2000/svg"')
+    assert 'preserveAspectRatio="xMinYMin meet"' in out and 'fill="red"' in out
+    assert rows[2]["filtered"] is None and rows[2]["error"] is None and rows[3]["filtered"] is None and rows[3]["error"] and rows[4]["filtered"].startswith("<svg")
 
 
 def test_stream(spark, tmp_path):
