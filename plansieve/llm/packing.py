@@ -12,7 +12,7 @@ are packed depends on nothing but how many have each length, so a histogram of
    going to the longest that still fits;
 4. what is left over, the small lengths above all, goes in by best fit, longest first;
    sequences of step 3 that leave more room than a bound join it, with the bound that
-   gives the fewest sequences.
+   gives the fewest sequences, and of such bounds the one that keeps most of step 3.
 
 The plan is a list of runs of equal sequences. Pieces get a rank among those of their
 length (counted by salted groups, so that a length shared by very many documents is
@@ -152,7 +152,7 @@ def plan_packing(counts: Mapping[int, int], capacity: int, groups: int = 48, sma
                 runs.append((tuple(held), times_here))
                 left -= times_here
     best: list[Run] | None = None
-    for slack in (capacity, capacity // 16, capacity // 64, capacity // 256, 0):  # sequences with more room are given up and packed anew
+    for slack in (capacity, *(capacity // n for n in (16, 32, 64, 128, 170, 256, 340, 512)), 0):  # sequences with more room are given up and packed anew
         kept, rest = [], dict(stock.count)
         for sizes, n in runs:
             if capacity - sum(sizes) <= slack:
