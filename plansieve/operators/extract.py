@@ -24,15 +24,16 @@ def numbered(objects: DataFrame, keys: Sequence[str], kind: str = "type") -> Dat
 def classify_curves(curves: DataFrame, points: str = "pts") -> DataFrame:
     """Adds the type of each path (rect_curve, rect_partial or curve), its corners and its partial box.
 
-    The hull is computed in one pass of Arrow batches, of the path as it is: an
-    argument with higher-order functions would keep Spark from extracting the UDF. It
-    decides only where the straight test fails.
+    The hull is computed in Arrow batches, and only of paths that fail the straight test.
+    Its argument is a column of its own: one with higher-order functions would keep Spark
+    from extracting the UDF.
     """
     path = F.coalesce(F.col(points), F.array().cast("array<struct<x:double,y:double>>"))
-    with_hull = curves.withColumn("path", shapes.rounded(path)).withColumn("hull", shapes.convex_hull(F.col("path")))
-    typed = with_hull.withColumn("corners", shapes.rectangle_corners(F.col("path"), F.col("hull"))).withColumn("part", shapes.partial_box(F.col("path")))
+    tested = curves.withColumn("path", shapes.rounded(path)).withColumn("straight", shapes.has_axis_rectangle(F.col("path")))
+    with_hull = tested.withColumn("bent", F.when(~F.col("straight") & (F.size("path") >= 4), F.col("path"))).withColumn("hull", shapes.convex_hull(F.col("bent")))
+    typed = with_hull.withColumn("corners", shapes.rectangle_corners(F.col("path"), F.col("hull"), F.col("straight"))).withColumn("part", shapes.partial_box(F.col("path")))
     kind = F.when(F.col("corners").isNotNull(), "rect_curve").when(F.col("part").isNotNull(), "rect_partial").otherwise("curve")
-    return typed.withColumn("type", kind).drop("path", "hull")
+    return typed.withColumn("type", kind).drop("path", "straight", "bent", "hull")
 
 
 def page_elements(objects: DataFrame, pages: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -6,7 +6,8 @@ comes as one Arrow UDF.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,39 +80,42 @@ def has_axis_rectangle(p: Column) -> Column:
     return F.coalesce(let(p, lambda q: let(extent(q), lambda e: test(q, e))), F.lit(False))
 
 
-@F.pandas_udf(T.ArrayType(POINT))
-def convex_hull(paths: pd.Series) -> pd.Series:
-    """Hull vertices, counter-clockwise from the lowest left point; points within a side are no vertices.
-
-    From each vertex the next is the point that leaves all others on the left; of
-    several in line, the farthest.
-    """
-
-    def hull(path) -> list[dict[str, float]] | None:
-        if path is None:
-            return None
-        points = sorted({(p["x"], p["y"]) for p in path})
-        if len(points) < 3:
-            return [{"x": x, "y": y} for x, y in points]
-        ring = [points[0]]
-        while True:
-            ox, oy = ring[-1]
-            best = None
-            for x, y in points:
-                if (x, y) == (ox, oy):
-                    continue
-                if best is None:
-                    best = (x, y)
-                    continue
-                turn = (best[0] - ox) * (y - oy) - (best[1] - oy) * (x - ox)
-                if turn < 0 or turn == 0 and (x - ox) ** 2 + (y - oy) ** 2 > (best[0] - ox) ** 2 + (best[1] - oy) ** 2:
-                    best = (x, y)
-            if best == ring[0] or len(ring) > len(points):
-                break
-            ring.append(best)
-        return [{"x": x, "y": y} for x, y in ring]
-
-    return paths.map(hull)
+def _hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """From each vertex the next is the point that leaves all others on the left; of several in line, the farthest."""
+    if len(points) < 3:
+        return points
+    ring = [points[0]]
+    while True:
+        ox, oy = ring[-1]
+        best = None
+        for x, y in points:
+            if (x, y) == (ox, oy):
+                continue
+            if best is None:
+                best = (x, y)
+                continue
+            turn = (best[0] - ox) * (y - oy) - (best[1] - oy) * (x - ox)
+            if turn < 0 or turn == 0 and (x - ox) ** 2 + (y - oy) ** 2 > (best[0] - ox) ** 2 + (best[1] - oy) ** 2:
+                best = (x, y)
+        if best == ring[0] or len(ring) > len(points):
+            break
+        ring.append(best)
+    return ring
+
+
+@F.arrow_udf(T.ArrayType(POINT))
+def convex_hull(paths: pa.Array) -> pa.Array:
+    """Hull vertices, counter-clockwise from the lowest left point; points within a side are no vertices. Null stays null."""
+    flat = paths.flatten()
+    xs, ys = flat.field("x").to_pylist(), flat.field("y").to_pylist()
+    rings: list[tuple[float, float]] = []
+    ends, at = [0], 0
+    for n in pc.fill_null(pc.list_value_length(paths), 0).to_pylist():
+        rings += _hull(sorted(set(zip(xs[at : at + n], ys[at : at + n], strict=True))))
+        ends.append(len(rings))
+        at += n
+    points = pa.StructArray.from_arrays([pa.array([r[i] for r in rings], pa.float64()) for i in (0, 1)], ["x", "y"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), points, mask=paths.is_null())
 
 
 convex_hull = convex_hull.asNondeterministic()  # keeps the optimizer from moving it into higher-order functions, where no UDF can run
@@ -142,9 +146,10 @@ def is_turned_rectangle(p: Column) -> Column:
     return F.coalesce(let(by_angle(p), test), F.lit(False))
 
 
-def rectangle_corners(p: Column, hull: Column) -> Column:
-    """The four corners of the rectangle that a rounded path is, or null."""
-    return F.when(has_axis_rectangle(p), box_corners(extent(p))).when((F.size(p) >= 4) & (F.size(hull) == 4) & is_turned_rectangle(hull), by_angle(hull))
+def rectangle_corners(p: Column, hull: Column, straight: Column | None = None) -> Column:
+    """The four corners of the rectangle that a rounded path is, or null. The hull matters only where the path isn't a ``straight`` rectangle."""
+    straight = has_axis_rectangle(p) if straight is None else straight
+    return F.when(straight, box_corners(extent(p))).when((F.size(p) >= 4) & (F.size(hull) == 4) & is_turned_rectangle(hull), by_angle(hull))
 
 
 def partial_box(p: Column) -> Column:

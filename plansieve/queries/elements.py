@@ -72,8 +72,11 @@ CROPPED = f"""WITH {TYPED}, {CROPS}, b AS (SELECT i.*, CASE WHEN type = 'rect_pa
 
 @query(CROPPED)
 def flt_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Elements inside their page's crop; an unknown edge drops one, ids stay as they were."""
-    return extract.crop_elements(_elements(spark, sf_dir), recipe.crops(spark, sf_dir), KEYS).select("sheet", "ord", "id")
+    """Elements inside their page's crop; an unknown edge drops one, ids stay as they were. Pages without a crop are left out before anything is classified."""
+    crops = recipe.crops(spark, sf_dir)
+    wanted = recipe.raw_objects(spark, sf_dir).join(crops.select("sheet"), "sheet", "left_semi")
+    elements = extract.page_elements(wanted, extract.pages_with_crops(recipe.sheets(spark, sf_dir), crops, KEYS), KEYS)
+    return extract.crop_elements(elements, crops, KEYS).select("sheet", "ord", "id")
 
 
 @query(f"SELECT sheet, count(*) AS n, min(id) AS first_id FROM ({CROPPED}) GROUP BY sheet")
