@@ -1,13 +1,14 @@
 """Licence scan by a positional rare-token index over licence templates.
 
 Texts are lower-cased (A-Z) and cut into words. A first pass counts, for each word of
-the templates, the documents that hold it. In the second pass each file looks up its
-highest-IDF licence words: every template is entered in the index under its rarest
-words, with their positions. Where a word of the file meets a posting, the difference
-of the two positions is an alignment; alignments at which enough IDF weight of the
-template agrees, and whose mandatory key phrase stands word by word, are matches.
-Base phrases are templates that are mandatory throughout and are posted under one
-word, so each of their places is met exactly once.
+the templates, the documents that hold it. In the second pass each file looks up its own
+licence words in an index that holds every word of every template with its positions. The
+difference of the positions in file and template is an alignment. Of a template's mandatory
+key phrase, which a match holds whole, the ``agree`` words with the highest IDF are looked up, and their
+alignments are intersected, so no match is missed. Alignments at which
+the key phrase stands word by word and enough IDF weight of the template
+agrees are matches. Base phrases are posted under their rarest word, so each of their places
+is met exactly once.
 
 Defined cases: null text counts as empty; a text without words has no labels (''),
 score 0 and null positions; overlapping places all count; ids may be null or repeat;
@@ -37,7 +38,13 @@ TEMPLATES = (
     ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", "in compliance with the license"),
     ("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu general public license version 3"),
     ("gpl-3", "either version 3 of the license or at your option any later version", "version 3 of the license"),
+    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "either version 3 of the license"),
     ("gpl-2", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
+    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "either version 2 of the license"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", "the software is provided as is without warranty of any kind"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "distributed on an as is basis"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "endorse or promote products derived from this software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "permission to use copy modify and or distribute this software for any purpose"),
     ("lgpl", "licensed under the gnu lesser general public license", "gnu lesser general public license"),
     ("agpl-3", "licensed under the gnu affero general public license version 3", "gnu affero general public license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
@@ -85,40 +92,62 @@ def document_frequencies(docs: DataFrame, text_col: str = "text", words: list[by
 
 
 class Index:
-    """Templates under their rarest words."""
+    """All words of the templates with their positions, and base phrases under their rarest word."""
 
-    def __init__(self, n: int, df: Mapping[bytes, int], templates=TEMPLATES, base: Mapping[str, str] = BASE, rare: int = 3):
+    def __init__(self, n: int, df: Mapping[bytes, int], templates=TEMPLATES, base: Mapping[str, str] = BASE, agree: int = 2):
         self.idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1e-3 for w in vocabulary(templates, base)}
         self.base_labels = list(base.values())
-        self.templates = []
+        self.templates, self.keys = [], []
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
         self.base: dict[bytes, list[tuple[int, int, list[bytes]]]] = {}
         for label, text, key in templates:
             t, k = text.encode().split(), key.encode().split()
             at = next(i for i in range(len(t)) if t[i : i + len(k)] == k)
+            for i, w in enumerate(t):
+                self.postings.setdefault(w, []).append((len(self.templates), i))
             self.templates.append((label, t, at, k, sum(self.idf[w] for w in t)))
-            for w in sorted(set(t), key=lambda w: (-self.idf[w], w))[:rare]:
-                self.postings.setdefault(w, []).extend((len(self.templates) - 1, i) for i, x in enumerate(t) if x == w)
+            self.keys.append(frozenset(k))
         for i, phrase in enumerate(base):
             p = phrase.encode().split()
             at = max(range(len(p)), key=lambda j: (self.idf[p[j]], -j))
             self.base.setdefault(p[at], []).append((i, at, p))
-        self.anchors = frozenset(self.postings) | frozenset(self.base)
+        self.lookup = frozenset(self.postings) | frozenset(self.base)
+        self.rarest = [sorted(k, key=lambda w: (-self.idf[w], w))[:agree] for k in self.keys]
+        self.anchors = frozenset(words[0] for words in self.rarest) | frozenset(self.base)
+
+    def alignments(self, places: Mapping[bytes, list[int]]) -> set[tuple[int, int]]:
+        """(template, shift) at which the postings of a file's rarest words meet.
+
+        A match holds its whole key phrase, so only templates whose key words the file has
+        are looked up, under the rarest of these, and no match is missed.
+        """
+        out: set[tuple[int, int]] = set()
+        for t, words in enumerate(self.rarest):
+            if self.keys[t] <= places.keys():
+                first, *others = ({i - at for at in self.postings_of(t, w) for i in places[w]} for w in words)
+                out.update((t, shift) for shift in first.intersection(*others))
+        return out
+
+    def postings_of(self, template: int, word: bytes) -> list[int]:
+        """The positions of a word in a template."""
+        return [at for t, at in self.postings[word] if t == template]
 
     def scan(self, words: list[bytes], least: float) -> tuple[int, int | None, int | None, set[str], set[str], float]:
         """n_base, first, last, base labels, labels and score of a text."""
-        anchors = self.anchors
-        hits = [(i, w) for i, w in enumerate(words) if w in anchors] if not anchors.isdisjoint(words) else []
+        if self.anchors.isdisjoint(words):
+            return 0, None, None, set(), set(), 0.0
+        lookup, places = self.lookup, {}
+        for i, w in enumerate(words):
+            if w in lookup:
+                places.setdefault(w, []).append(i)
         starts, base, found, score = [], set(), set(), 0.0
-        seen: set[tuple[int, int]] = set()
-        for i, w in hits:
-            for which, at, phrase in self.base.get(w, ()):
-                if i >= at and words[i - at : i - at + len(phrase)] == phrase:
-                    starts.append(i - at)
-                    base.add(self.base_labels[which])
-            for t, at in self.postings.get(w, ()):
-                seen.add((t, i - at))
-        for t, shift in seen:
+        for w in self.base.keys() & places.keys():
+            for which, at, phrase in self.base[w]:
+                for i in places[w]:
+                    if i >= at and words[i - at : i - at + len(phrase)] == phrase:
+                        starts.append(i - at)
+                        base.add(self.base_labels[which])
+        for t, shift in self.alignments(places):
             label, template, at, key, weight = self.templates[t]
             k = shift + at
             if k < 0 or words[k : k + len(key)] != key:
@@ -132,11 +161,11 @@ class Index:
         return len(starts), min(starts, default=None), max(starts, default=None), base, base | found, score
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, base: Mapping[str, str] = BASE, rare: int = 3, least: float = 0.6) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, base: Mapping[str, str] = BASE, agree: int = 2, least: float = 0.6) -> DataFrame:
     """A row per document: word count, places of base phrases, labels and the best IDF coverage."""
     small_batches(docs.sparkSession)
     n, df = document_frequencies(docs, text_col, vocabulary(templates, base))
-    index = Index(n, df, templates, base, rare)
+    index = Index(n, df, templates, base, agree)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

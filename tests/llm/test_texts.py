@@ -40,6 +40,36 @@ def test_licenses(spark, messy, nothing):
     assert licenses.scan_licenses(nothing).count() == 0
 
 
+def test_licenses_by_trying_every_place():
+    """Labels of the method against all alignments of all templates, with words left out and changed, and any document frequencies."""
+    rng = random.Random(21)
+    vocabulary = [w.decode() for w in licenses.vocabulary()] + [f"w{i}" for i in range(30)]
+    found = 0
+    for _ in range(300):
+        df = {w: rng.choice([0, 1, 5, 50, 99]) for w in licenses.vocabulary()}
+        index = licenses.Index(100, df)
+        words = rng.choices(vocabulary, k=rng.randint(0, 30))
+        for _, text, _ in rng.choices(licenses.TEMPLATES, k=rng.randint(0, 3)):
+            t = [w if rng.random() < rng.choice([1, 0.9]) else rng.choice(vocabulary) for w in text.split()]
+            at = rng.randint(0, len(words))
+            words[at:at] = t[: rng.randint(len(t) * 2 // 3, len(t))]
+        words = [w.encode() for w in words]
+        want, best = set(), 0.0
+        for label, text, key in licenses.TEMPLATES:
+            t, k = text.encode().split(), key.encode().split()
+            key_at = next(i for i in range(len(t)) if t[i : i + len(k)] == k)
+            for shift in range(-len(t), len(words)):
+                here = [0 <= shift + i < len(words) and words[shift + i] == w for i, w in enumerate(t)]
+                if all(here[key_at : key_at + len(k)]):
+                    got = sum(index.idf[w] for w, h in zip(t, here, strict=True) if h) / sum(index.idf[w] for w in t)
+                    best = max(best, got)
+                    want |= {label} if got >= 0.6 else set()
+        *_, base, labels, score = index.scan(words, 0.6)
+        found += bool(want)
+        assert labels == base | want and score == pytest.approx(1.0 if base else min(1.0, best))
+    assert found > 100
+
+
 def test_toxicity(spark, messy, nothing):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     held = toxicity.remainder("doc_id", 3)
