@@ -4,7 +4,8 @@ A payload of bytes is kept without loss as a media file: 8-bit mono WAV or AU sa
 an 8-bit grey BMP or a binary PGM image. Reading starts from nothing but the bytes: an
 Aho-Corasick automaton finds the magic numbers of the known formats, format validators
 confirm structure and lengths at each place, the type that fits the whole corrects the
-declared one, and valid media inside another file's payload is carved out.
+declared one, and valid media inside another file's payload is carved out. Validators know the
+usual sample widths and depths; a payload is the samples' bytes as they stand.
 
 Defined cases: null text counts as empty; a payload is padded with bytes 255 to a
 positive multiple of ``unit``; equal texts give equal files; bytes that no validator
@@ -15,6 +16,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -32,7 +34,14 @@ KINDS = ("wav", "au", "pgm", "bmp")
 WIDTH = 24
 
 # Magic bytes and where they stand in their format.
-MAGICS = {b"RIFF": ("wav", 0), b".snd": ("au", 0), b"P5\n": ("pgm", 0), b"BM": ("bmp", 0), b"\x89PNG\r\n\x1a\n": ("png", 0), b"GIF87a": ("gif", 0), b"GIF89a": ("gif", 0), b"\xff\xd8\xff": ("jpeg", 0)}
+MAGICS = {b"RIFF": ("wav", 0), b".snd": ("au", 0), b"P5\n": ("pgm", 0), b"P5 ": ("pgm", 0), b"P5\t": ("pgm", 0), b"P5\r": ("pgm", 0), b"P5#": ("pgm", 0), b"BM": ("bmp", 0), b"\x89PNG\r\n\x1a\n": ("png", 0), b"GIF87a": ("gif", 0), b"GIF89a": ("gif", 0), b"\xff\xd8\xff": ("jpeg", 0)}
+
+
+# Bytes a sample of the codes of AU files (mu-law, linear of 8 to 32 bits, float, double, A-law).
+AU_WIDTHS = {1: 1, 2: 1, 3: 2, 4: 3, 5: 4, 6: 4, 7: 8, 27: 1}
+
+#: Numbers of a PGM header, parted by white space and comments; one white space ends it.
+PGM = re.compile(rb"P5" + 3 * rb"(?:[ \t\r\n]|#[^\r\n]{0,200}[\r\n])+([0-9]{1,9})" + rb"[ \t\r\n]")
 
 
 def encode(kind: str, payload: bytes) -> bytes:
@@ -78,7 +87,10 @@ def _wav(b: bytes, at: int) -> Found | None:
         if name == b"fmt " and size >= 16:
             form = struct.unpack_from("<HHIIHH", b, chunk + 8)
         elif name == b"data" and form:
-            return Found("wav", at, end, chunk + 8, chunk + 8 + size, f"{size}@{form[2]}") if end <= len(b) and form[0] == 1 and form[5] == 8 else None
+            code, channels, rate, per_second, frame, bits = form
+            usual = (code in (1, 0xFFFE) and bits in (8, 16, 24, 32)) or (code == 3 and bits in (32, 64)) or (code in (6, 7) and bits == 8)
+            ok = usual and channels > 0 and rate > 0 and frame == channels * bits // 8 and per_second == rate * frame and size % frame == 0 and end <= len(b)
+            return Found("wav", at, end, chunk + 8, chunk + 8 + size, f"{size // frame}@{rate}") if ok else None
         chunk += 8 + size + (size & 1)
     return None
 
@@ -87,28 +99,29 @@ def _au(b: bytes, at: int) -> Found | None:
     if len(b) < at + 24:
         return None
     head, size, code, rate, channels = struct.unpack_from(">5I", b, at + 4)
-    ok = head >= 24 and code == 2 and 1 <= channels <= 8 and 0 < rate <= 768_000 and at + head + size <= len(b)
-    return Found("au", at, at + head + size, at + head, at + head + size, f"{size}@{rate}") if ok else None
+    frame = AU_WIDTHS.get(code, 0) * channels
+    size = len(b) - at - head if size == 0xFFFFFFFF else size  # a stream's length isn't stated
+    ok = head >= 24 and frame and 1 <= channels <= 8 and 0 < rate <= 768_000 and 0 <= size <= len(b) - at - head and size % frame == 0
+    return Found("au", at, at + head + size, at + head, at + head + size, f"{size // frame}@{rate}") if ok else None
 
 
 def _pgm(b: bytes, at: int) -> Found | None:
-    head = b[at : at + 40].split(b"\n", 3)
-    if len(head) < 4 or head[2] != b"255":
-        return None
-    size = head[1].split(b" ")
-    if len(size) != 2 or not all(x.isdigit() for x in size):
+    head = PGM.match(b, at)
+    if not head:
         return None
-    w, h = map(int, size)
-    data = at + sum(len(x) + 1 for x in head[:3])
-    return Found("pgm", at, data + w * h, data, data + w * h, f"{w}x{h}") if w * h > 0 and data + w * h <= len(b) else None
+    w, h, top = (int(x) for x in head.groups())
+    size = w * h * (1 if top < 256 else 2)
+    data = head.end()
+    return Found("pgm", at, data + size, data, data + size, f"{w}x{h}") if size and 0 < top < 65_536 and data + size <= len(b) else None
 
 
 def _bmp(b: bytes, at: int) -> Found | None:
     if len(b) < at + 54:
         return None
     size, r1, r2, data, info, w, h, planes, depth, packed = struct.unpack_from("<IHHIIiiHHI", b, at + 2)
-    rows = (w + 3) // 4 * 4 * abs(h) if w > 0 else 0
-    ok = not r1 and not r2 and info >= 40 and planes == 1 and depth == 8 and packed == 0 and rows > 0 and data + rows <= size and at + size <= len(b)
+    rows = (w * depth + 31) // 32 * 4 * abs(h) if w > 0 else 0
+    plain = (packed == 0 and depth in (1, 4, 8, 16, 24, 32)) or (packed == 3 and depth in (16, 32))
+    ok = not r1 and not r2 and info >= 40 and planes == 1 and plain and rows > 0 and data >= 14 + info and data + rows <= size and at + size <= len(b)
     return Found("bmp", at, at + size, at + data, at + data + rows, f"{w}x{abs(h)}") if ok else None
 
 

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -162,6 +163,39 @@ def test_media_kinds(kind):
     assert whole.kind == "wav" and [c.kind for c in carved] == [kind]
 
 
+def png(w, h):
+    chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0" * (w + 1) * h)) + chunk(b"IEND", b"")
+
+
+FOREIGN = {
+    "wav of 16 bits": ("wav", "4@44100", b"RIFF" + struct.pack("<I", 52) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 2, 44100, 176400, 4, 16) + b"data" + struct.pack("<I", 16) + bytes(range(16))),
+    "au of 16 bits": ("au", "6@8000", b".snd" + struct.pack(">5I", 24, 12, 3, 8000, 1) + bytes(12)),
+    "au of unknown length": ("au", "9@8000", b".snd" + struct.pack(">5I", 24, 0xFFFFFFFF, 1, 8000, 1) + bytes(9)),
+    "pgm on one line": ("pgm", "3x2", b"P5 3 2 255\n" + bytes(6)),
+    "pgm with a comment": ("pgm", "3x2", b"P5\n# made by hand\n3\t2\r\n65535 " + bytes(12)),
+    "bmp of 24 bits": ("bmp", "3x2", b"BM" + struct.pack("<IHHI", 54 + 24, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 3, 2, 1, 24, 0, 24, 0, 0, 0, 0) + bytes(24)),
+    "png": ("png", "5x4", png(5, 4)),
+    "gif": ("gif", "2x2", b"GIF89a" + struct.pack("<HHBBB", 2, 2, 0x80, 0, 0) + bytes(6) + b"!\xf9\x04" + bytes(5) + b"," + struct.pack("<HHHHB", 0, 0, 2, 2, 0) + b"\x02\x02\x4c\x01\x00;"),
+    "jpeg": ("jpeg", "7x9", b"\xff\xd8\xff\xe0" + struct.pack(">H", 4) + b"ab" + b"\xff\xc0" + struct.pack(">HBHHB", 11, 8, 9, 7, 1) + b"\1\x11\0" + b"\xff\xda" + struct.pack(">H", 8) + b"\1\1\0\0\x3f\0" + b"\x12\x34\xff\xd9"),
+}
+
+
+@pytest.mark.parametrize("name", FOREIGN)
+def test_media_of_others(name):
+    """Files as other programs write them: typed as a whole, carved out of loose bytes, and not taken for whole when cut short or spoilt."""
+    kind, shape, data = FOREIGN[name]
+    sniffer = media.Sniffer()
+    whole, carved = sniffer.sniff(data)
+    assert (whole.kind, whole.shape, whole.end, carved) == (kind, shape, len(data), [])
+    if name != "au of unknown length":
+        loose = b"x BM RIFF P5 " + data + b"rest"
+        assert [(c.kind, loose[c.start : c.end]) for c in sniffer.sniff(loose)[1]] == [(kind, data)]
+        assert sniffer.sniff(data[:-1])[0] is None
+    if kind == "png":
+        assert sniffer.sniff(data[:20] + b"!" + data[21:])[0] is None
+
+
 def test_quotations(spark, nothing):
     messages = [
         (1, 0, "user", "Shall we meet?\nMonday suits me."),
