@@ -35,6 +35,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _on(spark: SparkSession, path: str):
+    """A path and its file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Has a folder go when the JVM ends."""
+    where, system = _on(spark, path)
+    system.deleteOnExit(where)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder."""
+    where, system = _on(spark, path)
+    system.delete(where, True)
+
+
 def store(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Writes a table to the shared folder and returns it as read back.
 
@@ -43,9 +61,7 @@ def store(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(conf).deleteOnExit(where)
+    delete_on_exit(spark, path)
     stored = spark.read.schema(df.schema).parquet(path)
     stored.stored_path = path
     return stored
@@ -53,9 +69,7 @@ def store(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 
 def discard(stored: DataFrame) -> None:
     """Deletes a table of ``store`` that nothing reads any more."""
-    spark = stored.sparkSession
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stored.stored_path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    delete(stored.sparkSession, stored.stored_path)
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import as_texts, shared_dir, slices, small_batches, store
+from .common import as_texts, delete_on_exit, shared_dir, slices, small_batches, store
 
 LIMIT = 18
 STRIDE = 256
@@ -233,8 +233,10 @@ def read_blocks(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, keeps_space: bool = False, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
-    """Tokenizes all documents into a file; returns its path, in the shared folder unless one is given."""
+    """Tokenizes all documents into a file; returns its path. Unless one is given it is in the shared folder, and goes when the JVM ends."""
     small_batches(docs.sparkSession)
-    path = path or f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    if path is None:
+        path = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+        delete_on_exit(docs.sparkSession, path)
     write_blocks(tokenize(docs, tokenizer, end_id, keeps_space, id_col, text_col), path)
     return path

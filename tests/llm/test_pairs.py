@@ -251,3 +251,24 @@ def test_pipeline(spark):
         docs = out
     packed = corpus_pipeline.run(spark, sf)
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+
+
+def test_pipeline_untidy(spark, messy, nothing):
+    """Nulls, empty and long texts, repeated rows and clashing columns through all stages; an empty table stays empty."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    sf = "/root/testdata/sf0.001"
+    docs = messy
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, stage(spark, docs, sf)
+        assert docs.columns == messy.columns, name
+        docs = docs.checkpoint()
+        if name != "mixing":
+            lost = before.select("doc_id", "text").exceptAll(docs.select("doc_id", "text")).collect()
+            assert name != "toxicity" or all((r["text"] or "").strip() for r in lost)
+            assert docs.select("doc_id", "text").exceptAll(before.select("doc_id", "text")).count() == 0, name
+        else:
+            assert docs.where("text is null or trim(text) = ''").count() == 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, sf).count() == 0
