@@ -1,4 +1,13 @@
-"""A training-data pipeline over ``documents``: each stage works on all that the one before kept."""
+"""A training-data pipeline over ``documents``: each stage works on all that the one before kept.
+
+All stages but the last return the columns they were given, extra ones included; names
+that the operators use themselves may clash. Defined cases: an empty table stays empty at every stage.
+Null and empty texts: not toxic, scored for quality by their statistics like any text, near
+copies of nothing, taken 0 times by the mix and so gone after it. Null ids: never used in
+training, otherwise documents like others. Repeated rows: toxicity and quality treat them
+alike, one stays as a near copy of the others, unless they are without words. Null
+sources are a source of their own.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plansieve.llm import mixing, ngram_join, packing, quality, toxicity
-from plansieve.llm.common import shared_dir
+from plansieve.llm.common import delete, delete_on_exit, shared_dir
 from plansieve.llm.queries import tokenizer_path
 
 
@@ -52,10 +61,19 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each written as Parquet to the shared folder and read again."""
+    """All stages in order, each written as Parquet to the shared folder and read again.
+
+    A stage's table goes once the next is written, the last when the JVM ends.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    delete_on_exit(spark, folder)
+    written = None
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}_{name}")
-        docs = spark.read.parquet(f"{folder}/{i}_{name}")
+        path = f"{folder}/{i}_{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if written:
+            delete(spark, written)
+        written = path
     return docs
