@@ -107,3 +107,23 @@ def round1(v: Column) -> Column:
     rest = (high * 10.0 - y) + (v - high) * 10.0
     whole = F.when(y - low != 0.5, F.rint(y)).when(rest > 0, low + 1).when(rest < 0, low).otherwise(F.rint(y))
     return whole / 10.0
+
+
+def zoom_factor(wheel: Column) -> Column:
+    """The factor of a turn of the wheel."""
+    return F.exp(-0.0015 * wheel)
+
+
+def zoomed(view: Column, x: Column, y: Column, factor: Column, low: float = 0.1, high: float = 20.0) -> Column:
+    """A view (scale, tx, ty) after a zoom by a factor that keeps the point (x, y) of the screen in place; the scale is kept in range."""
+    scale = clamp(view["scale"] * factor, low, high)
+    moved = lambda at, t: at - (at - t) * (scale / view["scale"])
+    return F.struct(scale.alias("scale"), moved(x, view["tx"]).alias("tx"), moved(y, view["ty"]).alias("ty"))
+
+
+def focused(b: tuple[Column, ...], css_per_pt: Column, width: Column, height: Column) -> Column:
+    """The view (scale, tx, ty) that brings a box to the middle of a screen, two fifths of it at most."""
+    x0, top, x1, bottom = (e * css_per_pt for e in b)
+    fit = F.least(width * 0.4 / F.greatest(x1 - x0, F.lit(20.0)), height * 0.4 / F.greatest(bottom - top, F.lit(20.0)), F.lit(6.0))
+    scale = clamp(fit, 1.5, 12.0)
+    return F.struct(scale.alias("scale"), (width / 2 - (x0 + x1) / 2 * scale).alias("tx"), (height / 2 - (top + bottom) / 2 * scale).alias("ty"))

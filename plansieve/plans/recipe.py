@@ -139,3 +139,13 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(
         "p_partkey", "p_size", F.when(p % 7 == 0, F.array(token(F.lit("Ø"), conf(3), p % 5), token(F.concat(number, F.lit('"'), sign), conf(7), p % 5 + 25))).otherwise(F.array(token(number, conf(3), p % 5), token(F.concat(F.lit('"'), sign), conf(7), p % 5 + 25))).alias("tokens")
     )
+
+
+def label_tokens(spark: SparkSession, sf_dir: str, boxes: DataFrame) -> DataFrame:
+    """What is read in boxes (sheet, ord, with paths at 2**40 and more): the size of the object's part in inches, in two pieces."""
+    p = F.col("p_partkey")
+    token = lambda text, conf, left: F.struct(text.alias("text"), conf.cast("int").alias("conf"), F.lit(left).alias("left"), F.lit(0).alias("top"), F.lit(9).alias("width"), F.lit(9).alias("height"))
+    pieces = F.array(token(F.concat(F.col("p_size").cast("string"), F.lit('"')), p * 3 % 100, 0), token(F.lit("@"), p * 7 % 100, 10))
+    parts = table(spark, sf_dir, "part").select(p.alias("l_partkey"), pieces.alias("tokens"))
+    objects = rectangles(spark, sf_dir).select("sheet", F.col("ord").alias("own"), "l_partkey")
+    return boxes.withColumn("own", F.col("ord") % (1 << 40)).join(objects, ["sheet", "own"]).join(parts, "l_partkey").select("sheet", "ord", "tokens")

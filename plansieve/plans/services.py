@@ -6,6 +6,8 @@ before anything runs.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,16 +44,37 @@ def detect_scale(documents: DataFrame, decoder: Decoder, reader: Reader, crops:
     if t.label_dpi < 1 or t.max_upload < 1:
         raise ValueError("dpi and upload limit must be positive")
     good, _ = intake.split_uploads(documents)
-    objects = decode_documents(good, decoder, crops.where(F.col("page") >= 1))
-    c = crops.select(*KEYS, *[F.col(e).alias(f"c_{e}") for e in G.EDGES])
-    black = S.black_objects(objects.join(c, KEYS), max_luma, G.edges("c_")).where("shape = 'rect'")
-    rank = F.when(F.col("kind") == "rect", 0).otherwise(1)  # native rectangles come first
-    rects = black.select(*KEYS, (rank.cast("long") * (1 << 40) + F.col("ord")).alias("ord"), *G.EDGES)
-    boxes = S.dedupe_boxes(rects.where(S.label_sized(t)), KEYS, t.dedupe_tolerance)
-    tokens = read_labels(S.inset_boxes(boxes, t.label_inset), good, reader, t.label_dpi)
+    crops = crops.where(F.col("page") >= 1)
+    return scale_objects(decode_documents(good, decoder, crops), crops, lambda boxes: read_labels(boxes, good, reader, t.label_dpi), KEYS, max_luma, t)
+
+
+def scale_objects(objects: DataFrame, crops: DataFrame, tokens_of: Callable[[DataFrame], DataFrame], keys: Sequence[str], max_luma: float = USUAL.max_luma, t: Thresholds = USUAL) -> tuple[DataFrame, DataFrame]:
+    """Callouts with their ducts, and the scale of each crop, of decoded objects: ink, labels without repeats, reading, matching, scale.
+
+    ``tokens_of`` gives the tokens (keys, ord, tokens) of label boxes. Native rectangles come before paths, so
+    ``ord`` is not that of ``objects``: paths have 2**40 added.
+    """
+    keys = list(keys)
+    c = crops.select(*keys, *[F.col(e).alias(f"c_{e}") for e in G.EDGES])
+    black = S.black_objects(objects.join(c, keys), max_luma, G.edges("c_")).where("shape = 'rect'")
+    rank = F.when(F.col("kind") == "rect", 0).otherwise(1)
+    rects = black.select(*keys, (rank.cast("long") * (1 << 40) + F.col("ord")).alias("ord"), *G.EDGES)
+    boxes = S.dedupe_boxes(rects.where(S.label_sized(t)), keys, t.dedupe_tolerance)
+    tokens = tokens_of(S.inset_boxes(boxes, t.label_inset))
     raw = T.decode_tokens(F.col("tokens"), t)
-    decoded = tokens.where(T.min_confidence(F.col("tokens")) >= t.min_confidence).select(*KEYS, "ord", T.callout_text(raw, t).alias("text"), T.callout_diameter(raw, t).alias("diameter_in"))
-    labels = boxes.join(decoded.where("diameter_in is not null"), [*KEYS, "ord"])
-    callouts = S.match_ducts(labels, rects, KEYS, t)
-    scales = crops.select(*KEYS).join(S.page_scales(callouts, KEYS, t.scale_band), KEYS, "left").select(*KEYS, "scale", F.coalesce("callout_count", F.lit(0)).alias("callout_count"), F.coalesce("rejected", F.lit(0)).alias("rejected"))
+    decoded = tokens.where(T.min_confidence(F.col("tokens")) >= t.min_confidence).select(*keys, "ord", T.callout_text(raw, t).alias("text"), T.callout_diameter(raw, t).alias("diameter_in"))
+    labels = boxes.join(decoded.where("diameter_in is not null"), [*keys, "ord"])
+    callouts = S.match_ducts(labels, rects, keys, t)
+    scales = crops.select(*keys).join(S.page_scales(callouts, keys, t.scale_band), keys, "left").select(*keys, "scale", F.coalesce("callout_count", F.lit(0)).alias("callout_count"), F.coalesce("rejected", F.lit(0)).alias("rejected"))
     return callouts, scales
+
+
+def run_all(elements: DataFrame, scales: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """A row per document of a full run: regions, elements in them, and the first region without a scale, which fails the run (null if there is none).
+
+    elements: of the cropped pages, after the crop; scales: a row per region.
+    """
+    doc, page = keys
+    counts = elements.groupBy(doc).agg(F.count("*").alias("elements"))
+    regions = scales.groupBy(doc).agg(F.count("*").alias("regions"), F.min(F.when(F.col("scale").isNull(), F.col(page))).alias("failed"))
+    return regions.join(counts, doc, "left").select(doc, "regions", F.coalesce("elements", F.lit(0)).alias("elements"), "failed")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import elements, geometry, relations, scalars, sources
+from . import elements, geometry, relations, runs, scalars, sources
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "elements", "geometry", "relations", "scalars", "sources"]
+__all__ = ["ORACLES", "QUERIES", "elements", "geometry", "relations", "runs", "scalars", "sources"]

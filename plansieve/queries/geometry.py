@@ -206,3 +206,16 @@ def prj_mid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT s_suppkey * 1000 + i AS sheet, 600::DOUBLE AS w, 300::DOUBLE AS h, s_suppkey % 10 * 60::DOUBLE AS x FROM supplier, (SELECT unnest(range(10)) AS i)")
 def prj_regionstats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recipe.crops(spark, sf_dir).select("sheet", (F.col("x1") - F.col("x0")).alias("w"), (F.col("bottom") - F.col("top")).alias("h"), F.col("x0").alias("x"))
+
+
+@query(f"""WITH {rect_cte()}, v AS (
+    SELECT *, greatest(1.5::DOUBLE, least(12, least(1280 * 0.4::DOUBLE / greatest((x1 - x0) * 0.8::DOUBLE, 20), 720 * 0.4::DOUBLE / greatest((bottom - top) * 0.8::DOUBLE, 20), 6))) AS focus,
+           exp(-0.0015::DOUBLE * (l_quantity * 40 - 1000)) AS factor FROM r),
+  z AS (SELECT *, 640 - (x0 + x1) * 0.4::DOUBLE * focus AS ftx, 360 - (top + bottom) * 0.4::DOUBLE * focus AS fty, greatest(0.1::DOUBLE, least(20, focus * factor)) AS scale FROM v)
+  SELECT sheet, ord, round(focus, 6) AS focus, round(scale, 6) AS scale, round(x0 - (x0 - ftx) * (scale / focus), 4) AS tx, round(top - (top - fty) * (scale / focus), 4) AS ty FROM z""")
+def fn_zoom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rectangle brought into focus, then zoomed about a point of the screen by a turn of the wheel."""
+    view = G.focused(G.edges(), F.lit(0.8), F.lit(1280.0), F.lit(720.0))
+    r = recipe.rectangles(spark, sf_dir).withColumn("view", view)
+    z = G.zoomed(F.col("view"), F.col("x0"), F.col("top"), G.zoom_factor(F.col("l_quantity") * 40 - 1000))
+    return r.select("sheet", "ord", F.round("view.scale", 6).alias("focus"), F.round(z["scale"], 6).alias("scale"), F.round(z["tx"], 4).alias("tx"), F.round(z["ty"], 4).alias("ty"))

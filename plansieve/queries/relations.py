@@ -307,12 +307,6 @@ def set_union_elems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return others.unionByName(words, allowMissingColumns=True)
 
 
-@query(f"WITH {rect_cte()}, {label_cte()}, {match_cte()}, {scale_cte()} SELECT sheet, round(scale, 6) AS scale, callout_count, rejected FROM sc")
-def pipe_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scale of every page: label filter, join, tiers, aggregate."""
-    return _scales(spark, sf_dir).select("sheet", F.round("scale", 6).alias("scale"), "callout_count", "rejected")
-
-
 @query(f"""WITH {rect_cte()}, {kinds_cte()}, {label_cte()}, {match_cte()}, {scale_cte()}
   SELECT e.sheet, e.ord, type, round((x1 - x0) / scale, 4) AS w_in, round((bottom - top) / scale, 4) AS h_in FROM e LEFT JOIN sc ON e.sheet = sc.sheet
   WHERE type IN ('rect', 'rect_curve', 'rect_partial') AND {INK} AND ({WHOLE} OR ({SIZES} AND (scale IS NULL OR ((x1 - x0) >= 3.0::DOUBLE * scale
@@ -385,10 +379,3 @@ def src_black(spark: SparkSession, sf_dir: str) -> DataFrame:
 def src_black_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Native rectangles by stroke or fill."""
     return _inked(spark, sf_dir).where("kind = 'rect'").select("sheet", "ord", *G.EDGES)
-
-
-@query(f"WITH {rect_cte()}, {label_cte()}, {match_cte()}, {scale_cte()}, d AS (SELECT sheet, count(*) AS n FROM r GROUP BY sheet) SELECT d.sheet, n, round(scale, 6) AS scale FROM d LEFT JOIN sc ON d.sheet = sc.sheet")
-def pipe_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objects extracted and scale found of every page, from one plan for all pages."""
-    n = recipe.rectangles(spark, sf_dir).groupBy("sheet").agg(F.count("*").alias("n"))
-    return n.join(_scales(spark, sf_dir), "sheet", "left").select("sheet", "n", F.round("scale", 6).alias("scale"))
