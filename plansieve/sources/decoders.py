@@ -68,13 +68,21 @@ def decode_documents(documents: DataFrame, decoder: Decoder, crops: DataFrame |
     return docs.mapInPandas(run, RAW_OBJECTS)
 
 
-def read_labels(boxes: DataFrame, documents: DataFrame, reader: Reader, dpi: int = 1200) -> DataFrame:
-    """Tokens of every box (doc, page, ord, edges); boxes are dealt out evenly, as reading is what takes time."""
-    rows = boxes.join(documents.select(F.col("path").alias("doc"), "content"), "doc").repartition("doc", "page", "ord")
+def read_labels(boxes: DataFrame, documents: DataFrame, reader: Reader, dpi: int = 1200, together: int = 64) -> DataFrame:
+    """Tokens of every box (doc, page, ord, edges).
+
+    About ``together`` boxes of a document are read in one go, so its bytes travel once for
+    so many boxes, and a document with very many boxes is dealt out.
+    """
+    counts = boxes.groupBy(F.col("doc").alias("c_doc")).agg(F.ceil(F.count("*") / together).alias("parts"))
+    part = F.pmod(F.xxhash64("page", "ord"), F.col("parts"))
+    dealt = boxes.join(counts, F.col("doc") == F.col("c_doc")).groupBy("doc", part.alias("part")).agg(F.collect_list(F.struct("page", "ord", "x0", "top", "x1", "bottom")).alias("boxes"))
+    rows = dealt.join(documents.select(F.col("path").alias("doc"), "content"), "doc").select("doc", "content", "boxes")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            tokens = [reader.read(r.content, int(r.page), (r.x0, r.top, r.x1, r.bottom), dpi) for r in batch.itertuples()]
-            yield batch[["doc", "page", "ord"]].assign(tokens=tokens)
+            for doc, content, found in zip(batch["doc"], batch["content"], batch["boxes"], strict=True):
+                tokens = [reader.read(content, int(b["page"]), (b["x0"], b["top"], b["x1"], b["bottom"]), dpi) for b in found]
+                yield pd.DataFrame({"doc": doc, "page": [b["page"] for b in found], "ord": [b["ord"] for b in found], "tokens": tokens})
 
     return rows.mapInPandas(run, OCR_TOKENS)
