@@ -52,7 +52,7 @@ COUNTERS, LEAST_BITS, MOST_BITS, CHUNK = 16, 16, 24, 1 << 14
 #: Bits of a parity signature that goes with entries, and most bits of one of a row.
 SIGNATURE, WIDEST = 512, 1 << 17
 #: The most rows of a column that are gathered at once, and of a region in a block of the product.
-BLOCKS = (4096, 2048)
+BLOCKS = (4096, 1024)
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
