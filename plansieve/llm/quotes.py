@@ -36,6 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
+from xxhash import xxh3_64_digest
 
 from .common import as_texts, cut, slices, small_batches, store
 from .ngram_join import Words, shingles
@@ -72,38 +73,53 @@ def hashes_of(passages: list[tuple[int, list[str]]], words: Words) -> dict[tuple
         run = " ".join(lines)
         parts = [run, *[x for x in lines if len(x.split()) < WINDOW]] if len(lines) > 1 else [run]
         for part in parts:
+            n = min(WINDOW, part.count(" ") + 1)
             for h in shingles(part.encode("utf-8", "surrogatepass"), WINDOW, words).astype(np.int64).tolist():
-                out[level, h] = min(WINDOW, len(part.split()))
+                out[level, h] = n
     for least in (0, 1):
         whole = [f"{level - least}:{w}" for level, lines in passages if level >= least for x in lines for w in x.split()]
         if whole:
-            h = shingles(" ".join(whole).encode("utf-8", "surrogatepass"), len(whole), words)
-            out[least - 1, int(h.astype(np.int64)[0])] = WINDOW * len(whole)
+            h = int.from_bytes(xxh3_64_digest(" ".join(whole).encode("utf-8", "surrogatepass")), "big", signed=True)
+            out[least - 1, h] = WINDOW * len(whole)
     return out
 
 
 def parsed_messages(messages: DataFrame) -> DataFrame:
-    """The columns conv_id, turn, role, clean text, n_quoted, and hashes (level, hash, words) of passages that it holds."""
+    """The columns conv_id, turn, role, clean text and n_quoted."""
     small_batches(messages.sparkSession)
     ids = dict(messages.dtypes)
-    kind = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64()), ("words", pa.int32())]))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in slices(batches):
             found = [parse_message(t) for t in as_texts(batch.column(3))]
-            held = [[{"level": a, "hash": h, "words": n} for (a, h), n in hashes_of(p, words).items()] for _, p, _ in found]
-            yield pa.record_batch([*(batch.column(i) for i in range(3)), pa.array([c for c, _, _ in found], pa.string()), pa.array([n for _, _, n in found], pa.int64()), pa.array(held, kind)], ["conv_id", "turn", "role", "clean", "n_quoted", "held"])
+            yield pa.record_batch([*(batch.column(i) for i in range(3)), pa.array([c for c, _, _ in found], pa.string()), pa.array([n for _, _, n in found], pa.int64())], ["conv_id", "turn", "role", "clean", "n_quoted"])
+
+    return messages.select("conv_id", "turn", "role", "text").mapInArrow(parse, f"conv_id {ids['conv_id']}, turn {ids['turn']}, role {ids['role']}, clean string, n_quoted long")
 
-    return messages.select("conv_id", "turn", "role", "text").mapInArrow(parse, f"conv_id {ids['conv_id']}, turn {ids['turn']}, role {ids['role']}, clean string, n_quoted long, held array<struct<level:int,hash:bigint,words:int>>")
 
+def held_passages(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, n_quoted, level, hash and words: a row for each hash of what a message holds."""
+    ids = dict(messages.dtypes)
 
-def reply_links(parsed: DataFrame, stretch: int = 64) -> DataFrame:
-    """conv_id, turn and parent (the turn replied to) of every message that replies to one."""
-    known = parsed.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
-    quoting = known.where("n_quoted > 0").select("conv_id").distinct()
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in slices(batches, 256):
+            found = [parse_message(t) for t in as_texts(batch.column(2))]
+            held = [hashes_of(p, words) for _, p, _ in found]
+            row = np.repeat(np.arange(len(held)), [len(h) for h in held])
+            quoted = np.array([n for _, _, n in found], np.int64)[row]
+            keys = [k for h in held for k in h]
+            cols = [pa.array([a for a, _ in keys], pa.int32()), pa.array([x for _, x in keys], pa.int64()), pa.array([n for h in held for n in h.values()], pa.int32())]
+            yield pa.record_batch([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(quoted), *cols], ["conv_id", "turn", "n_quoted", "level", "hash", "words"])
+
+    return messages.select("conv_id", "turn", "text").mapInArrow(hashed, f"conv_id {ids['conv_id']}, turn {ids['turn']}, n_quoted long, level int, hash long, words int")
+
+
+def reply_links(messages: DataFrame, parsed: DataFrame, stretch: int = 64) -> DataFrame:
+    """conv_id, turn and parent (the turn replied to) of every message that replies to one. Only conversations with a quote are hashed."""
+    quoting = cut(parsed.where((F.col("n_quoted") > 0) & F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select("conv_id").distinct())
+    items = store(held_passages(messages.where(F.col("turn").isNotNull()).join(quoting, "conv_id", "left_semi")), "passages")
     # a quoted passage asks for one level up; the quoted part as a whole (level 0) for a whole message (level -1)
-    items = known.join(quoting, "conv_id", "left_semi").select("conv_id", "turn", "n_quoted", F.explode("held").alias("h")).select("conv_id", "turn", "n_quoted", "h.*")
     whole = F.col("words") > WINDOW
     asked = items.where((F.col("n_quoted") > 0) & ((F.col("level") > 0) | ((F.col("level") == 0) & whole)))
     asked = asked.select("conv_id", (F.col("level") - 1).alias("level"), "hash", "turn", "words").distinct()
@@ -165,12 +181,11 @@ def positions(rows: DataFrame, order: list[str]) -> DataFrame:
 def link_quotations(messages: DataFrame) -> DataFrame:
     """A row per message: conv_id, turn, role, parent_turn, root_turn, depth, position in its conversation, n_quoted and clean text."""
     parsed = store(parsed_messages(messages), "parsed")
-    links = cut(reply_links(parsed))
+    links = cut(reply_links(messages, parsed))
     placed = threads(links)
     known = cut(links.join(placed, ["conv_id", "turn"]).select(F.col("conv_id").alias("k_conv"), F.col("turn").alias("k_turn"), "parent", "root", "depth"))
     rows = (
-        parsed.drop("held")
-        .join(known, (F.col("conv_id") == F.col("k_conv")) & (F.col("turn") == F.col("k_turn")), "left")
+        parsed.join(known, (F.col("conv_id") == F.col("k_conv")) & (F.col("turn") == F.col("k_turn")), "left")
         .select("conv_id", "turn", "role", F.col("parent").alias("parent_turn"), F.coalesce("root", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).alias("depth"), "n_quoted", "clean")
     )
     placed = positions(rows, ["root_turn", "depth", "turn", "role", "clean"])
