@@ -77,24 +77,34 @@ class Windows:
         np.put_along_axis(self.place, order, np.arange(n, dtype=np.uint16)[None, :], axis=1)
         self.n, self.least = n, math.ceil(share * projections)
         self.half = 0.5 * (float(values.std()) or 1.0)
+        self.shifted, self.inside = np.empty_like(self.place), np.empty(self.place.shape, bool)
 
     def directions(self, queries: np.ndarray) -> np.ndarray:
         """Queries of norm 1."""
         scaled = unit(queries)
         return scaled / np.sqrt((scaled**2).sum(1))[:, None]
 
+    def ranks(self, x: np.ndarray) -> np.ndarray:
+        """How many values of each sorted array are below x (a column for each array), by bisection in all arrays at once."""
+        below, row = np.zeros(x.shape, np.int64), np.arange(len(self.sorted))
+        for bit in reversed(range(self.n.bit_length())):
+            more = below + (1 << bit)
+            fits = more <= self.n
+            fits &= self.sorted[row, np.where(fits, more, 1) - 1] < x
+            below = np.where(fits, more, below)
+        return below
+
     def candidates(self, at: np.ndarray, half: float) -> np.ndarray:
         """The vectors that stand in enough of the windows of this half-width around a query's projections."""
-        count, full = np.zeros(self.n, np.uint8), 0
-        for place, values, x in zip(self.place, self.sorted, at.tolist(), strict=True):
-            low, high = values.searchsorted((x - half, x + half))
-            if high - low == self.n:
-                full += 1
-            elif high > low:
-                count += place - np.uint16(low) < np.uint16(high - low)  # wraps below the window, so one comparison does
+        low, high = self.ranks(np.stack([at - half, at + half]))
+        size = high - low
+        full = int((size == self.n).sum())  # windows that hold every vector; they are left out of the count
         if full >= self.least:
             return np.arange(self.n)
-        return np.flatnonzero(count >= self.least - full)
+        size[size == self.n] = 0
+        np.subtract(self.place, low.astype(np.uint16)[:, None], out=self.shifted)  # wraps below the window, so one comparison does
+        np.less(self.shifted, size.astype(np.uint16)[:, None], out=self.inside)
+        return np.flatnonzero(np.add.reduce(self.inside.view(np.uint8), axis=0, dtype=np.uint8) >= self.least - full)
 
     def search(self, directions: np.ndarray, wanted: int, factor: float = 1.03) -> Iterator[np.ndarray]:
         """For each query the vectors to verify: at least ``wanted``, or all if there are fewer.
