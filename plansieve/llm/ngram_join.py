@@ -2,9 +2,15 @@
 
 A document's row of the matrix is its set of hashed word n-grams. Equal rows are one
 class from the start. Columns are ordered from rare to frequent by a count sketch of
-fixed size, ties by hash; two rows that reach the threshold must meet in the first
-``n - ceil(t*n) + 1`` columns of each, so only these entries are looked at to find out
-which rows have to be multiplied with each other:
+fixed size, ties by hash. Which rows have to be multiplied with each other is found out
+from few entries of each row. A short row, or any if the threshold is low, enters its first
+``n - ceil(t*n) + 1`` columns, of which two rows that reach the threshold share one. Of a
+longer row that would let in every row that shares a rare column by chance, more of them
+the more rows there are. So the hash deals its columns into parts, a power of two of them by
+its length; a row that links with it differs in at most ``d = n * (1 - t) / t`` columns, so
+in no more parts, and of the ``d + 1`` parts whose columns are rarest together, in an
+order that all rows have in common, the two share one with all its columns. Rows that can
+link with rows of the next number of parts enter the parts of that number, too. Then:
 
 1. Regions. Within a column rows gather around leaders: the distance is the number of
    places in which two parity signatures differ, which is never more than the symmetric
@@ -49,6 +55,8 @@ from .common import as_bytes, cut, discard, mix64, slices, small_batches, store
 
 #: The sketch that orders columns has about COUNTERS counters a row of the matrix, within these powers of two; CHUNK of them travel together.
 COUNTERS, LEAST_BITS, MOST_BITS, CHUNK = 16, 16, 24, 1 << 14
+#: Rows of fewer columns enter single columns; others parts, at least SPARE (a fraction) times as many as they enter.
+SHORT, SPARE = 64, (5, 4)
 #: Bits of a parity signature that goes with entries, and most bits of one of a row.
 SIGNATURE, WIDEST = 512, 1 << 17
 #: The most rows of a column that are gathered at once, and of a region in a block of the product.
@@ -87,6 +95,41 @@ def needed(n: int, threshold: tuple[int, int]) -> int:
     return -(-n * threshold[0] // threshold[1])
 
 
+def apart_at_most(n: int, threshold: tuple[int, int]) -> int:
+    """The most columns that a row of n entries and one that it links with don't share."""
+    return n * (threshold[1] - threshold[0]) // threshold[0]
+
+
+def parts_of(n: int, threshold: tuple[int, int]) -> int:
+    """The parts that the columns of a row of n entries are dealt into, a power of two; 0: single columns are entered."""
+    if n < SHORT or 4 * (threshold[1] - threshold[0]) > threshold[0]:
+        return 0
+    return 1 << (-(-SPARE[0] * (apart_at_most(n, threshold) + 1) // SPARE[1]) - 1).bit_length()
+
+
+def first_entries(s: np.ndarray, cell: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
+    """What a row of columns s, of levels ``cell``, enters: two rows that link share an entry unless they are equal."""
+    n, (up, down) = len(s), threshold
+    d = apart_at_most(n, threshold)
+    if not d:  # links with equal rows only
+        return s[:0]
+    parts, last, out = parts_of(n, threshold), parts_of(n * down // up, threshold), []
+    if not parts:
+        k = n - needed(n, threshold) + 1
+        near = np.flatnonzero(cell <= np.partition(cell, k - 1)[k - 1])
+        out.append(s[near[np.argsort(cell[near], kind="stable")[:k]]])
+        parts = parts_of(SHORT, threshold) or 1
+    rare = 256 - cell.astype(np.int64)
+    while parts <= last:
+        part = (s >> np.uint64(20) & np.uint64(parts - 1)).astype(np.int64)
+        total = np.zeros(parts, np.uint64)
+        np.add.at(total, part, s)
+        first = np.argsort(-np.bincount(part, rare, parts), kind="stable")[: d + 1]  # empty parts come last
+        out.append(mix64(total[first] ^ mix64((first + (parts << 32)).astype(np.uint64))))
+        parts *= 2
+    return np.concatenate(out)
+
+
 def fingerprint(s: np.ndarray, seed: int = 0) -> int:
     """An order-free 64-bit digest of a set, as a signed integer; seeds give independent ones."""
     with np.errstate(over="ignore"):
@@ -189,7 +232,7 @@ def column_order(rows: DataFrame, bits: int) -> np.ndarray:
 
 
 def prefix_entries(docs: DataFrame, order: np.ndarray, width: int, threshold: tuple[int, int], seed: int, text_col: str) -> DataFrame:
-    """Scan 2: the entries of each row's first columns: column, row, row length."""
+    """Scan 2: the entries of each row: column or part, row, row length."""
     held, shift = docs.sparkSession.sparkContext.broadcast(order), 65 - len(order).bit_length()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,16 +249,8 @@ def prefix_entries(docs: DataFrame, order: np.ndarray, width: int, threshold: tu
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(fp)
-                n = len(s)
-                k = n - needed(n, threshold) + 1
-                cell = level[(s >> np.uint64(shift)).astype(np.int64)]
-                if k < n:
-                    top = np.partition(cell, k - 1)[k - 1]
-                    near = np.flatnonzero(cell <= top)
-                    first = near[np.argsort(cell[near], kind="stable")[:k]]
-                else:
-                    first = np.argsort(cell, kind="stable")
-                out.append((s[first].astype(np.int64), fp, n))
+                first = first_entries(s, level[(s >> np.uint64(shift)).astype(np.int64)], threshold)
+                out.append((first.astype(np.int64), fp, len(s)))
             if out:
                 sizes = [len(h) for h, _, _ in out]
                 cols = [np.concatenate([h for h, _, _ in out]), np.repeat([f for _, f, _ in out], sizes), np.repeat([n for _, _, n in out], sizes)]
@@ -225,9 +260,9 @@ def prefix_entries(docs: DataFrame, order: np.ndarray, width: int, threshold: tu
 
 
 def shared_entries(entries: DataFrame) -> DataFrame:
-    """The entries of columns that hold different rows, with the number of entries of the column; stored."""
+    """The entries of columns (or parts) that hold different rows, once for each row, with the number of entries of the column, copies counted; stored."""
     shared = entries.groupBy(F.col("h").alias("c_h")).agg(F.count("*").alias("c_n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("c_h", "c_n")
-    return store(entries.join(shared, F.col("h") == F.col("c_h")).select("h", "c_n", "fp", "n"), "shared")
+    return store(entries.join(shared, F.col("h") == F.col("c_h")).select("h", "c_n", "fp", "n").dropDuplicates(["h", "fp"]), "shared")
 
 
 class Forest:

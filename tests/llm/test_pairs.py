@@ -96,6 +96,40 @@ def test_join_grows_with_the_rows(spark, monkeypatch):
     assert sizes[1]["regions"] < 2000 * 8
 
 
+def test_long_rows_of_common_columns(spark, monkeypatch):
+    """Long rows that share rare columns by chance only are not gathered, and near copies among them are found."""
+    made, plain = [], ngram_join.region_edges
+    monkeypatch.setattr(ngram_join, "region_edges", lambda *a: (made.append(out := plain(*a)), out)[1])
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(300)]
+    texts = [rng.choices(words, k=rng.randint(1500, 2500)) for _ in range(150)]
+    texts += [[w if rng.random() > 0.01 else "x" for w in texts[i % 5]] for i in range(20)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for threshold, most in (((90, 100), 5), ((80, 100), 75)):  # parts of some two columns at 0.8
+        made.clear()
+        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join_similar(docs, 2, threshold).collect())
+        assert got == sorted(brute_components(docs.collect(), 2, *threshold))
+        assert len({c for _, _, c in got}) == 150
+        assert max(r["count"] for r in ngram_join.components(made[0]).groupBy("component").count().collect()) <= most
+
+
+@pytest.mark.parametrize("threshold", [(90, 100), (80, 100), (97, 100), (70, 100)])
+def test_entries(threshold):
+    """Rows that just reach the threshold share an entry, on both sides of each number of parts."""
+    rng = np.random.default_rng(6)
+    up, down = threshold
+    level = rng.integers(0, 120, 1 << 16).astype(np.uint8)
+    entries = lambda s: ngram_join.first_entries(s, level[(s >> np.uint64(48)).astype(np.int64)], threshold)
+    for n in [*range(1, 140), *range(190, 260, 3), 900, 4000]:
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        for gone in {0, int(rng.integers(0, n * (down - up) // down + 1)), n * (down - up) // down}:
+            new = (n - gone) * down // up - n  # as many as leave the two linked
+            b = np.append(rng.choice(a, n - gone, replace=False), rng.integers(0, 1 << 63, new).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+            if gone + new:
+                assert down * (n - gone) >= up * (n + new)
+                assert len(np.intersect1d(entries(a), entries(np.sort(b)))), (n, gone, new)
+
+
 def test_signatures():
     """Signatures of any two sizes differ in no more places than the sets have members of their own."""
     rng = np.random.default_rng(8)
