@@ -20,14 +20,17 @@ link with rows of the next number of parts enter the parts of that number, too.
    region, and a column gives a forest of fewer edges than it has rows. A column of very
    many rows is dealt into blocks, whose leaders then meet. The signatures of 512 bits that
    go with the entries say little about long rows, so the regions are gathered once more
-   by themselves, with signatures of two bits and more for each member.
+   by themselves, with signatures of two bits and more for each member. In a column of few
+   rows nothing is gathered, as long rows that met there by chance would grow into one region,
+   the faster the more rows there are: its pairs are tested for a link, with the short
+   signatures and then with the long ones, and those that pass are edges.
 2. Product. The rows of a region are multiplied block by block: overlaps are accumulated
    for every pair, and pairs below the overlap that their sizes ask for are discarded. What
    leaves a block is a row for each of its rows: the number of its links and a row it is
    connected with.
 
-Neither step emits pairs, so what moves is in proportion to the entries, and for a region
-of m rows to m times its number of blocks. Regions and links become components by label
+Neither step emits pairs but those of columns of few rows, so what moves is in proportion to
+the entries, and for a region of m rows to m times its number of blocks. Regions and links become components by label
 propagation along minima.
 
 Sets are told apart by two 64-bit digests; if equal first digests ever had different second
@@ -61,6 +64,8 @@ SHORT, SPARE = 64, (5, 4)
 SIGNATURE, WIDEST = 512, 1 << 17
 #: The most rows of a column that are gathered at once, and of a region in a block of the product.
 BLOCKS = (4096, 1024)
+#: The pairs of a column of up to so many entries are tested one by one.
+FEW = 16
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -322,13 +327,77 @@ def gather(group: np.ndarray, n: np.ndarray, fp: np.ndarray, sig: Signatures, th
     return edges, leads
 
 
-def region_edges(entries: DataFrame, signed: DataFrame, threshold: tuple[int, int], block: int) -> DataFrame:
+def may_link(a: np.ndarray, b: np.ndarray, n: np.ndarray, sig: Signatures, threshold: tuple[int, int]) -> np.ndarray:
+    """Whether the lengths and signatures of rows a and b allow a link."""
+    up, down = threshold
+    close = np.flatnonzero(down * np.minimum(n[a], n[b]) >= up * np.maximum(n[a], n[b]))
+    out = np.zeros(len(a), bool)
+    out[close] = (down + up) * sig.apart(a[close], b[close]) <= (down - up) * (n[a[close]] + n[b[close]])
+    return out
+
+
+def pair_edges(entries: DataFrame, signed: DataFrame, whole: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of rows (entries: h, fp, n) that share an h and may link by their whole signatures; each once.
+
+    signed: fp and short signature of each row; whole: fp, n and whole signature.
+    """
+    signed = signed.toDF("s_fp", "sig")
+    rows = entries.join(signed, F.col("fp") == F.col("s_fp")).select("h", F.col("n").cast("long").alias("n"), "fp", "sig")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+
+        def pairs(table: pa.Table, old: int) -> pa.RecordBatch:
+            h, n, fp = (table.column(k).to_numpy() for k in range(3))
+            sig, met = Signatures(table.column(3).to_pylist()), [np.zeros((3, 0), np.int64)]
+            for step in range(1, FEW):
+                a = np.arange(max(0, old - step), max(0, old - step, len(h) - step))  # pairs of old rows are out
+                a = a[h[a] == h[a + step]]
+                a = a[may_link(a, a + step, n, sig, threshold)]
+                b = a + step
+                met.append(np.array([np.minimum(fp[a], fp[b]), np.maximum(fp[a], fp[b]), np.minimum(n[a], n[b]) > SIGNATURE // 2]))
+            new = [p for p in set(zip(*np.concatenate(met, 1).tolist(), strict=True)) if p[:2] not in seen]
+            if len(seen) > 500_000:
+                seen.clear()
+            seen.update(p[:2] for p in new)
+            return pa.record_batch([pa.array([p[k] for p in new], pa.int64()) for k in range(3)], ["a", "b", "longer"])
+
+        held, old, size = [], 0, 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= 1 << 14:
+                table = pa.Table.from_batches(held).combine_chunks()
+                yield pairs(table, old)
+                held, old, size = table.slice(table.num_rows - FEW + 1).to_batches(), FEW - 1, 0
+        if size:
+            yield pairs(pa.Table.from_batches(held).combine_chunks(), old)
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            m, n = batch.num_rows, np.concatenate([batch.column(k).to_numpy() for k in (2, 3)])
+            sig = Signatures(batch.column(4).to_pylist() + batch.column(5).to_pylist())
+            yield batch.filter(pa.array(may_link(np.arange(m), np.arange(m, 2 * m), n, sig, threshold))).select(["a", "b"])
+
+    pairs = store(rows.repartition("h").sortWithinPartitions("h", "n", "fp").mapInArrow(meet, "a long, b long, longer long"), "pairs")
+    longer = pairs.where("longer = 1").select("a", "b").distinct()
+    both = longer.join(whole.toDF("a", "n_a", "sig_a"), "a").join(whole.toDF("b", "n_b", "sig_b"), "b")
+    tested = both.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(checked, "a long, b long")
+    return pairs.where("longer = 0").select("a", "b").distinct().union(tested)
+
+
+def region_edges(entries: DataFrame, signed: DataFrame, threshold: tuple[int, int], block: int, whole: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) between rows (entries: h, c_n, fp, n) so that linked rows that share an h are connected; stored.
 
     signed: fp and signature of each row. A group h of more than ``block`` rows is dealt
     into blocks by hash. Their leaders meet afterwards, in pairs of blocks if they are
-    more than a block again.
+    more than a block again. With ``whole`` (fp, n and whole signature) groups of up to
+    ``FEW`` entries give the pairs that may link by it instead.
     """
+    pairs = None
+    if whole is not None:
+        pairs = pair_edges(entries.where(F.col("c_n") <= FEW), signed, whole, threshold)
+        entries = entries.where(F.col("c_n") > FEW)
     blocks = F.ceil(F.col("c_n") / block).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     signed = signed.toDF("s_fp", "sig")
@@ -381,6 +450,8 @@ def region_edges(entries: DataFrame, signed: DataFrame, threshold: tuple[int, in
 
     first = found(rows, 0)
     edges, leaders = first.where("b is not null").select("a", "b"), first.where("b is null")
+    if pairs is not None:
+        edges = edges.union(pairs)
     if leaders.isEmpty():
         return edges
     counted = leaders.join(leaders.groupBy(F.col("h").alias("c_h")).agg(F.count("*").alias("c_n")), F.col("h") == F.col("c_h"))
@@ -581,7 +652,7 @@ def classes_of(docs: DataFrame, width: int, threshold: tuple[int, int], id_col:
     entries = store(prefix_entries(docs, column_order(rows, bits), width, threshold, seed, text_col), "entries", "lz4")
     shared = shared_entries(entries)
     discard(entries)
-    coarse = components(region_edges(shared, classes.select("fp", "sig"), threshold, blocks[0]))
+    coarse = components(region_edges(shared, classes.select("fp", "sig"), threshold, blocks[0], classes.select("fp", "n", "wide")))
     discard(shared)
     coarse = cut(coarse.join(classes.select(F.col("fp").alias("node"), "n"), "node").select(F.col("component").alias("h"), F.col("node").alias("fp"), "n"))
     sized = coarse.join(coarse.groupBy(F.col("h").alias("c_h")).agg(F.count("*").alias("c_n")), F.col("h") == F.col("c_h"))

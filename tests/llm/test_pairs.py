@@ -113,6 +113,40 @@ def test_long_rows_of_common_columns(spark, monkeypatch):
         assert max(r["count"] for r in ngram_join.components(made[0]).groupBy("component").count().collect()) <= most
 
 
+def test_long_rows_that_meet_by_chance(spark):
+    """Long rows that meet two by two in columns don't grow into a region, and those that link do, in columns of few and of many rows."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in rng.integers(1500, 2000, 80)]
+    sets += [np.append(sets[i][20:], rng.integers(0, 1 << 63, 20).astype(np.uint64)) for i in (0, 0, 1)]  # 80 and 81 like 0, 82 like 1
+    sets += [np.append(sets[2][k:], rng.integers(0, 1 << 63, k).astype(np.uint64)) for k in range(1, 30)]  # 83 to 111 like 2
+    columns = [(i, i + 1) for i in range(79)] + [(0, 80, 81), (1, 82), (1, 82), (2, *range(83, 112))]
+    n, sig = [len(s) for s in sets], [ngram_join.signature(s) for s in sets]
+    entries = spark.createDataFrame([(h, len(c), i, n[i]) for h, c in enumerate(columns) for i in c], "h long, c_n long, fp long, n int")
+    short = spark.createDataFrame([(i, ngram_join.folded(x, 64).tobytes()) for i, x in enumerate(sig)], "fp long, sig binary")
+    whole = spark.createDataFrame([(i, n[i], x.tobytes()) for i, x in enumerate(sig)], "fp long, n long, wide binary")
+    edges = ngram_join.region_edges(entries, short, (80, 100), 4096, whole)
+    regions = {}
+    for r in ngram_join.components(edges).collect():
+        regions.setdefault(r["component"], set()).add(r["node"])
+    assert sorted(map(sorted, regions.values())) == [[0, 80, 81], [1, 82], [2, *range(83, 112)]]
+    assert len(columns[-1]) > ngram_join.FEW
+    assert sorted(map(tuple, edges.where("a < 2 or a = 80").collect())) == [(0, 80), (0, 81), (1, 82), (80, 81)]
+
+
+def test_chance_does_not_gather_at_08(spark, monkeypatch):
+    """As test_long_rows_of_common_columns at 0.8: only the rows that link are in a region."""
+    made, plain = [], ngram_join.region_edges
+    monkeypatch.setattr(ngram_join, "region_edges", lambda *a: (made.append(out := plain(*a)), out)[1])
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(300)]
+    texts = [rng.choices(words, k=rng.randint(1500, 2500)) for _ in range(150)]
+    texts += [[w if rng.random() > 0.01 else "x" for w in texts[i % 5]] for i in range(20)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join_similar(docs, 2, (80, 100)).collect())
+    assert got == sorted(brute_components(docs.collect(), 2, 80, 100))
+    assert max(r["count"] for r in ngram_join.components(made[-2]).groupBy("component").count().collect()) == 5
+
+
 @pytest.mark.parametrize("threshold", [(90, 100), (80, 100), (97, 100), (70, 100)])
 def test_entries(threshold):
     """Rows that just reach the threshold share an entry, on both sides of each number of parts."""
